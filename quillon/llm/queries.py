@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm import site_lines
+from quillon.llm import repair, residue, site_lines
 from quillon.sources.tables import read_pages, read_table
 
 QUERIES = {}
@@ -34,3 +34,30 @@ def p1_found(s, d):
 @query("p1_clean")
 def p1_clean(s, d):
     return site_lines.without_lines(read_pages(s, d), _repeated(s, d))
+
+
+def _model(s: SparkSession, d: str) -> repair.Model:
+    """Words of the pages as delivered; a page delivered twice counts twice, which changes no decision."""
+    return repair.build_model(read_table(s, d, "page"))
+
+
+@query("p4_found")
+def p4_found(s, d):
+    model = _model(s, d)
+    pages = repair.garbled(read_table(s, d, "page").filter("page_id is not null"), model, "page_id", "content").distinct()
+    sites = repair.garbled(read_table(s, d, "site").filter("site_id is not null"), model, "site_id", "url").distinct()
+    kinds = ((F.lit("page"), pages), (F.lit("site"), sites))
+    a, b = (x.select(k.alias("record_kind"), F.col("key").cast("long").alias("record_id")) for k, x in kinds)
+    return a.unionByName(b)
+
+
+@query("p4_restored")
+def p4_restored(s, d):
+    """(page_id, content) of the garbled pages, restored as far as possible."""
+    rows = repair.restore_rows(read_pages(s, d), _model(s, d), "page_id", "content")
+    return rows.filter("garbled").select(F.col("key").alias("page_id"), F.col("restored").alias("content"))
+
+
+@query("p6_found")
+def p6_found(s, d):
+    return residue.find_residue(read_table(s, d, "page").filter("page_id is not null"), _model(s, d)).select(F.col("page").alias("page_id")).distinct()
