@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm import repair, residue, site_lines
+from quillon.llm import repair, residue, site_lines, term_counts
 from quillon.sources.tables import read_pages, read_table
 
 QUERIES = {}
@@ -61,3 +61,24 @@ def p4_restored(s, d):
 @query("p6_found")
 def p6_found(s, d):
     return residue.find_residue(read_table(s, d, "page").filter("page_id is not null"), _model(s, d)).select(F.col("page").alias("page_id")).distinct()
+
+
+def _terms(s: SparkSession, d: str) -> DataFrame:
+    return term_counts.term_frequencies(read_table(s, d, "lemma"), "lemma", "site_id", "frequency")
+
+
+# white space beyond the blank is trimmed like Python's strip
+_P5 = """WITH t AS (SELECT nfc_normalize(lower(trim(nfc_normalize(lemma), ' \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0                　'))) AS lemma, site_id, frequency FROM lemma WHERE frequency > 0),
+s AS (SELECT lemma, CAST(sum(frequency) AS BIGINT) AS occurrences, count(DISTINCT site_id) AS sites FROM t WHERE lemma <> '' GROUP BY lemma)"""
+
+
+@query("p5_found", _P5 + ", n AS (SELECT count(DISTINCT page_id) AS n FROM page) SELECT lemma, 'rare' AS mark FROM s WHERE occurrences <= 2 UNION ALL SELECT lemma, 'common' FROM s, n WHERE occurrences >= 0.3 * n")
+def p5_found(s, d):
+    pages = read_table(s, d, "page").agg(F.countDistinct("page_id")).first()[0]
+    # exact: 10 * total >= 3 * pages
+    return term_counts.marks(_terms(s, d), F.lit(3 * pages) / 10).select(F.col("term").alias("lemma"), "mark")
+
+
+@query("p5_terms", _P5 + " SELECT * FROM s")
+def p5_terms(s, d):
+    return _terms(s, d).select(F.col("term").alias("lemma"), "occurrences", F.col("records").alias("sites"))
