@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm import repair, residue, site_lines, term_counts
+from quillon.llm import packing, repair, residue, site_lines, splitting, term_counts, tokens
 from quillon.sources.tables import read_pages, read_table
 
 QUERIES = {}
@@ -82,3 +82,32 @@ def p5_found(s, d):
 @query("p5_terms", _P5 + " SELECT * FROM s")
 def p5_terms(s, d):
     return _terms(s, d).select(F.col("term").alias("lemma"), "occurrences", F.col("records").alias("sites"))
+
+
+CAPACITY = LIMIT = 2048
+OVERLAP = 128
+
+
+@query("p7_ids")
+def p7_ids(s, d):
+    return tokens.encode_texts(read_table(s, d, "documents"), "doc_id", "text").withColumnRenamed("key", "doc_id")
+
+
+@query("p8_containers")
+def p8_containers(s, d):
+    sizes = tokens.token_sizes(read_table(s, d, "documents"), "doc_id", "text")
+    return packing.pack(sizes, CAPACITY).withColumnRenamed("key", "doc_id")
+
+
+def _pieces(s: SparkSession, d: str) -> DataFrame:
+    return splitting.split_oversized(read_table(s, d, "documents"), "doc_id", "text", LIMIT, OVERLAP).withColumnRenamed("key", "doc_id")
+
+
+@query("p9_found")
+def p9_found(s, d):
+    return _pieces(s, d).filter("piece = 0").select("doc_id")
+
+
+@query("p9_pieces")
+def p9_pieces(s, d):
+    return _pieces(s, d)
