@@ -56,15 +56,15 @@ def units(text: str, words: list[str], size, most: int) -> list[tuple[int, int,
         if total <= most:
             out.append((start, end, total))
         else:
-            a, acc = start, []
-            for e, n in own:
-                if acc and sum(x for _, x in acc) + n > most:
-                    spaced = [j for j, (x, _) in enumerate(acc) if text[x : x + 1].isspace() or text[x - 1].isspace()]
-                    j = spaced[-1] if spaced else len(acc) - 1
-                    out.append((a, acc[j][0], sum(x for _, x in acc[: j + 1])))
-                    a, acc = acc[j][0], acc[j + 1 :]
-                acc.append((e, n))
-            out.append((a, end, sum(x for _, x in acc)))
+            a, first, size_ = start, 0, 0
+            for i, (_, n) in enumerate(own):
+                if i > first and size_ + n > most:
+                    j = next((j for j in range(i - 1, first - 1, -1) if text[own[j][0] : own[j][0] + 1].isspace() or text[own[j][0] - 1].isspace()), i - 1)
+                    out.append((a, own[j][0], sum(x for _, x in own[first : j + 1])))
+                    a, first = own[j][0], j + 1
+                    size_ = sum(x for _, x in own[first:i])
+                size_ += n
+            out.append((a, end, size_))
         start = end
     return out
 
@@ -113,7 +113,7 @@ def split_text(text: str, words: list[str], size, tokens_of, limit: int, overlap
     word_sizes = [size(w) for w in words]
     out, k, start = [], 0, 0
     while k < len(parts):
-        used, n, e = sum_between(word_ends, word_sizes, start, parts[k][0]), 0, k
+        used, n, e = tokens_between(word_ends, word_sizes, start, parts[k][0]), 0, k
         while e < len(parts) and used + n + parts[e][2] <= limit - 4:
             n += parts[e][2]
             e += 1
@@ -130,8 +130,7 @@ def split_text(text: str, words: list[str], size, tokens_of, limit: int, overlap
             e -= 1
             got = tokens_of(text[start : parts[e - 1][1]])
         while got > limit and start < parts[k][0]:  # less overlap, word by word
-            start = min((x for x in word_ends if x > start), default=parts[k][0])
-            start = min(start, parts[k][0])
+            start = min(word_ends[bisect_left(word_ends, start + 1)], parts[k][0])
             got = tokens_of(text[start : parts[e - 1][1]])
         end = parts[e - 1][1]
         out.append((start, end, got))
@@ -141,7 +140,7 @@ def split_text(text: str, words: list[str], size, tokens_of, limit: int, overlap
     return out
 
 
-def sum_between(ends: list[int], sizes: list[int], a: int, b: int) -> int:
+def tokens_between(ends: list[int], sizes: list[int], a: int, b: int) -> int:
     """Tokens of the words between two positions."""
     i, j = bisect_left(ends, a), bisect_left(ends, b)
     return sum(sizes[i:j])

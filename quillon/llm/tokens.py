@@ -2,11 +2,12 @@
 
 A text is split into words by the tokenizer's pattern. Words a worker has not met are encoded in DuckDB:
 one row for each token position, joined with the merge table; a recursive query contracts each word's
-minimum-rank pair (all its leftmost occurrences that don't overlap) until no pair is left, and an ordered
-aggregation gives the ids. The worker remembers its words, so a word is encoded once in each worker.
+leftmost minimum-rank pair until no pair is left, and an ordered aggregation gives the ids. The worker
+remembers its words, so a word is encoded once in each worker.
 
 Scale: one pass over the texts, no shuffle; memory of words is bounded by ``REMEMBER``, and the words of one
-recursive query by ``BLOCK``; words over ``LONG`` bytes go through the same contraction one table at a time.
+recursive query by ``BLOCK``; words over ``LONG`` bytes go one table at a time, with all leftmost
+occurrences of the minimum-rank pair contracted at once, which gives the same ids.
 
 Defined results: null and empty texts have no ids; strings of special tokens are ordinary text.
 """
@@ -21,15 +22,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-REMEMBER, BLOCK, LONG = 1_000_000, 3_000, 48
+REMEMBER, BLOCK, LONG = 1_000_000, 12_000, 48
 #: Fixed value: the pattern that splits text before merging.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 #: A single space between two characters that are no white space.
 GAP = re.compile(r"(?<=\S) (?=\S)")
 
-# One contraction of every word in {st} (w, i, t) that has a pair to merge; i counts without gaps.
-STEP = """SELECT w, row_number() OVER (PARTITION BY w ORDER BY i) AS i, t FROM (
+# The next state of every word in {st} (w, i, t) that has a pair to merge: its leftmost minimum-rank pair is contracted.
+STEP = """SELECT p.w, p.i, CASE WHEN p.i = m.i THEN m.id ELSE p.t END AS t FROM {st} p JOIN (
+  SELECT w, arg_min(i, (rank, i)) AS i, arg_min(j, (rank, i)) AS j, arg_min(id, (rank, i)) AS id
+  FROM (SELECT w, i, t, lead(t) OVER o AS nxt, lead(i) OVER o AS j FROM {st} WINDOW o AS (PARTITION BY w ORDER BY i)) q
+  JOIN merges g ON q.t = g.l AND q.nxt = g.r GROUP BY w) m ON p.w = m.w
+WHERE p.i <> m.j"""
+# The same for long words: all leftmost occurrences of that pair that don't overlap; i counts without gaps.
+LEAP = """SELECT w, row_number() OVER (PARTITION BY w ORDER BY i) AS i, t FROM (
   SELECT b.w, b.i, CASE WHEN b.take THEN b.id ELSE b.t END AS t, coalesce(lag(b.take) OVER (PARTITION BY b.w ORDER BY b.i), false) AS gone FROM (
     SELECT *, coalesce(rank = best AND (t <> nxt OR row_number() OVER (PARTITION BY w, rank = best, run ORDER BY i) % 2 = 1), false) AS take FROM (
       SELECT *, i - row_number() OVER (PARTITION BY w, rank = best ORDER BY i) AS run FROM (
@@ -88,7 +95,7 @@ class Encoder:
         base = self._rows(words)  # noqa: F841  read by DuckDB
         got = self.db.execute(f"""
             WITH RECURSIVE s(n, w, i, t) AS (
-              SELECT 0, w, i, t FROM base UNION ALL SELECT x.n + 1, x.w, x.i, x.t FROM (SELECT q.w, q.i, q.t, (SELECT max(n) FROM s) AS n FROM ({STEP.format(st="s")}) q) x)
+              SELECT 0, w, i, t FROM base UNION ALL SELECT (SELECT max(n) FROM s) + 1, x.w, x.i, x.t FROM ({STEP.format(st="s")}) x)
             SELECT w, list(t ORDER BY i) AS ids FROM (SELECT *, max(n) OVER (PARTITION BY w) AS last FROM s) WHERE n = last GROUP BY w ORDER BY w""").fetchall()
         return [np.asarray(x, np.int32) for _, x in got]
 
@@ -98,7 +105,7 @@ class Encoder:
         self.db.execute("CREATE OR REPLACE TEMP TABLE a AS SELECT * FROM base")
         ids: list = [None] * len(words)
         while True:
-            self.db.execute(f"CREATE OR REPLACE TEMP TABLE b AS {STEP.format(st='a')}")
+            self.db.execute(f"CREATE OR REPLACE TEMP TABLE b AS {LEAP.format(st='a')}")
             done = self.db.execute("SELECT w, list(t ORDER BY i) FROM a WHERE w NOT IN (SELECT w FROM b) GROUP BY w").fetchall()
             for w, t in done:
                 ids[w] = np.asarray(t, np.int32)
@@ -132,9 +139,10 @@ class Encoder:
             self.heads.clear()
             self.tails.clear()
         cut = [GAP.split(t) if t else [] for t in texts]
-        heads = {c[0] for c in cut if c} - self.heads.keys()
-        tails = set().union(*(c[1:] for c in cut)) - self.tails.keys()
-        for new, known, before in ((list(heads), self.heads, ""), (list(tails), self.tails, " ")):
+        heads = {c[0] for c in cut if c}
+        tails = set().union(*(c[1:] for c in cut))
+        for parts, known, before in ((heads, self.heads, ""), (tails, self.tails, " ")):
+            new = [x for x in parts if x not in known]
             for part, ws in zip(new, self.words([before + x for x in new]), strict=True):
                 known[part] = np.concatenate([self.memory[w] for w in ws]) if len(ws) > 1 else self.memory[ws[0]]
         head, tail = self.heads.__getitem__, self.tails.__getitem__
