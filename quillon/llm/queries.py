@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm import packing, repair, residue, site_lines, splitting, term_counts, tokens
+from quillon.llm import near_duplicates, packing, repair, residue, site_lines, splitting, term_counts, tokens
 from quillon.sources.tables import read_pages, read_table
 
 QUERIES = {}
@@ -111,3 +111,18 @@ def p9_found(s, d):
 @query("p9_pieces")
 def p9_pieces(s, d):
     return _pieces(s, d)
+
+
+def _groups(s: SparkSession, d: str) -> DataFrame:
+    return near_duplicates.similar_groups(read_pages(s, d), "page_id", "content", threshold=0.6, width=3, least_words=40)
+
+
+@query("p3_found")
+def p3_found(s, d):
+    return near_duplicates.pairs_of_groups(_groups(s, d)).select(F.col("a").alias("page_id_a"), F.col("b").alias("page_id_b"))
+
+
+@query("p3_groups")
+def p3_groups(s, d):
+    """(page_id, group_id): one row for each page that is similar to another."""
+    return _groups(s, d).select(F.col("id").alias("page_id"), F.col("group").alias("group_id"))
