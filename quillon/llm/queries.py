@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm import near_duplicates, packing, repair, residue, site_lines, splitting, term_counts, tokens
+from quillon.llm import main_body, near_duplicates, packing, repair, residue, site_lines, splitting, term_counts, tokens
 from quillon.sources.tables import read_pages, read_table
 
 QUERIES = {}
@@ -126,3 +126,9 @@ def p3_found(s, d):
 def p3_groups(s, d):
     """(page_id, group_id): one row for each page that is similar to another."""
     return _groups(s, d).select(F.col("id").alias("page_id"), F.col("group").alias("group_id"))
+
+
+@query("p2_found")
+def p2_found(s, d):
+    pages, sites = read_pages(s, d), read_table(s, d, "site")
+    return main_body.main_body(pages, sites, _model(s, d)).withColumnRenamed("page", "page_id")
