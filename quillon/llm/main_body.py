@@ -27,8 +27,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillon.llm.repair import Model, worker_model
-from quillon.llm.residue import residue_share
-from quillon.llm.visible import bare, visible
+from quillon.llm.residue import residue_of
+from quillon.llm.visible import bare, shown
 from quillon.sources.tables import if_small
 
 SAMPLE_PAGES = 6_000
@@ -45,6 +45,9 @@ TITLE = re.compile(r"<title[^>]*>(.*?)</title>", re.S | re.I)
 WORD = re.compile(r"[^\W_]+")
 DATE = re.compile(r"\d{1,2}\.\d{1,2}\.\d{4}|\d{4}-\d\d-\d\d")
 NUMBER = re.compile(r"\d+")
+MARKS = frozenset("|©·›:«»“”„€₽$%?—-@_")
+SIZE = [f"n{n if n < 8 else 8 + min(n // 6, 6)}" for n in range(50)]
+LEAD, TAIL, LINKS = [f"lead{k}" for k in range(4)], [f"tail{k}" for k in range(3)], [f"links{k}" for k in range(4)]
 
 
 def markup(raw: str) -> tuple[str, str]:
@@ -58,72 +61,79 @@ def markup(raw: str) -> tuple[str, str]:
     return mark, sign
 
 
-def page_nodes(content: str, brand: str | None) -> list[tuple[int, str, str, list[str], float]]:
-    """(line_no, mark, signature, feature keys, words' weight) of the lines with visible text."""
-    title = TITLE.search(content)
+def page_nodes(content: str, brand: str | None, plain: str | None = None, text: str | None = None) -> list[tuple[int, str, str, list[str], list[str]]]:
+    """(line_no, mark, signature, flags, words) of the lines with visible text. plain, text: what ``bare`` and ``visible`` make of the content."""
+    plain = bare(content) if plain is None else plain
+    text = shown(plain) if text is None else text
+    title = TITLE.search(content) if "<title" in content else None
     title = " ".join(title[1].split()).rsplit(" — ", 1)[0].lower() if title else ""
-    raws, texts = bare(content).split("\n"), visible(content).split("\n")
-    shown = [(i, " ".join(t.split())) for i, t in enumerate(texts)]
-    shown = [(i, t) for i, t in shown if t]
-    crumbs = {t.rsplit("›", 1)[1].strip().lower() for _, t in shown if "›" in t}
-    words = [WORD.findall(t) for _, t in shown]
+    raws = plain.split("\n")
+    lines = [(i, " ".join(w)) for i, t in enumerate(text.split("\n")) if (w := t.split())]
+    crumbs = {t.rsplit("›", 1)[1].strip().lower() for _, t in lines if "›" in t}
+    words = [WORD.findall(NUMBER.sub("0", t.lower())) for _, t in lines]
     long = [k for k, w in enumerate(words) if len(w) >= 18]
-    brand = (brand or "").lower()
+    begin, end = (long[0], long[-1]) if long else (-1, -1)
+    brand, total = (brand or "").lower(), len(lines)
     out = []
-    for k, ((i, t), w) in enumerate(zip(shown, words, strict=True)):
-        low = [x.lower() if not x[0].isdigit() else "0" for x in w]
-        if brand:
+    for k, ((i, t), low) in enumerate(zip(lines, words, strict=True)):
+        named = bool(brand) and brand in low
+        if named:
             low = ["BRAND" if x == brand else x for x in low]
-        raw = raws[i] if i < len(raws) else ""
-        linked = sum(len(x) for x in LINK.findall(raw)) if "<a" in raw else 0
-        n, body = len(low), t.rstrip("»>! .…)[]0123456789")
-        letters = [c for c in t if c.isalpha()]
-        keys = [
-            "*", f"n{min(n, 8) if n < 8 else 8 + min(n // 6, 6)}", f"end{t[-1] if not t[-1].isalnum() else 'a' if t[-1].isalpha() else '0'}",
-            f"link{0 if not linked else 1 if linked < 0.6 * len(t) else 2}", f"links{min(raw.count('<a '), 3)}",
-            "case" + ("A" if letters and all(c.isupper() for c in letters) and len(letters) > 3 else "a" if letters and letters[0].islower() else "T"),
-            f"at{'b' if not long or k < long[0] else 'e' if k > long[-1] else 'm'}{int(bool(long))}", f"lead{min(k, 4)}", f"tail{min(len(shown) - 1 - k, 3)}",
+        raw = raws[i]
+        n, z = len(low), t[-1]
+        flags = [
+            "*", SIZE[n] if n < 50 else "n14", "end" + (z if not z.isalnum() else "a" if z.isalpha() else "0"),
+            "caseA" if n and t.isupper() else "casea" if t[0].islower() else "caseT",
+            (("atb1" if k < begin else "ate1" if k > end else "atm1") if long else "atb0"), LEAD[k] if k < 4 else "lead4", TAIL[total - 1 - k] if total - 1 - k < 3 else "tail3",
         ]
-        if DATE.search(t):
-            keys.append("date")
-        if NUMBER.search(t[-12:]):
-            keys.append("endnum")
-        if low and "BRAND" in low:
-            keys.append("brand")
-            keys.append("brandfirst" if low[0] == "BRAND" else "brandin")
-        for c in "|©·›:«»“”„€₽$%?—-@_":
-            if c in t:
-                keys.append("c" + c)
+        if "<a " in raw:
+            linked = sum(map(len, LINK.findall(raw)))
+            flags += ["link1" if linked < 0.6 * len(t) else "link2", LINKS[min(raw.count("<a "), 3)]]
+        else:
+            flags.append("link0")
+        if any(map(str.isdigit, t)):
+            if DATE.search(t):
+                flags.append("date")
+            if NUMBER.search(t[-12:]):
+                flags.append("endnum")
+        if named:
+            flags += ["brand", "brandfirst" if low[0] == "BRAND" else "brandin"]
+        flags += ["c" + c for c in MARKS.intersection(t)]
         head = t.lower()
-        if head == title or head in crumbs or body.lower() == title:
-            keys.append("heading")
+        if head == title or head in crumbs or (title and t.rstrip("»>! .…)[]0123456789").lower() == title):
+            flags.append("heading")
         if raw.count("<td") > 1:
-            keys.append("cells")
+            flags.append("cells")
         if low:
-            keys += ["f" + low[0], "ff" + " ".join(low[:2]), "l" + low[-1]]
-            if w[0][:1].isupper() and ":" in t[: len(w[0]) + 24]:
-                keys.append("label")
-        mark, sign = markup(raw)
-        keys += ["w" + x for x in low]
-        out.append((i, mark, sign, keys, n))
+            flags += ["f" + low[0], "ff" + " ".join(low[:2]), "l" + low[-1]]
+            if t[0].isupper() and ":" in t[: len(low[0]) + 24]:
+                flags.append("label")
+        out.append((i, *markup(raw), flags, low))
     return out
 
 
+class _Weights(dict):
+    def __missing__(self, key: str) -> float:
+        return 0.0
+
+
 class Classifier:
-    """Logistic regression over feature keys; the words of a line share one unit of length."""
+    """Logistic regression over flags and words; the words of a line share one unit of length. Words are stored behind a w."""
 
     def __init__(self, weights: dict[str, float]):
         self.weights = weights
+        self.flag = _Weights({k: v for k, v in weights.items() if k[0] != "w"}).__getitem__
+        self.word = _Weights({k[1:]: v for k, v in weights.items() if k[0] == "w"}).__getitem__
 
-    def score(self, keys: list[str], n: int) -> float:
+    def score(self, flags: list[str], words: list[str]) -> float:
         """The log-odds of being body."""
-        get, split = self.weights.get, len(keys) - n
-        s = sum(get(k, 0.0) for k in keys[:split])
-        return s + (sum(get(k, 0.0) for k in keys[split:]) / math.sqrt(n) if n else 0.0)
+        s = sum(map(self.flag, flags))
+        return s + sum(map(self.word, words)) / math.sqrt(len(words)) if words else s
 
     @classmethod
-    def fit(cls, rows: list[tuple[list[str], int, bool]], steps: int = 160, l2: float = 1e-5) -> Classifier:
+    def fit(cls, lines: list[tuple[list[str], list[str], bool]], steps: int = 160, l2: float = 1e-5) -> Classifier:
         """Full-batch training with adaptive moments; keys seen once are left out."""
+        rows = [([*flags, *("w" + w for w in words)], len(words), y) for flags, words, y in lines]
         seen = Counter(k for keys, _, _ in rows for k in set(keys))
         names = {k: i for i, k in enumerate(sorted(k for k, c in seen.items() if c > 1))}
         if not names:
@@ -147,16 +157,22 @@ class Classifier:
         return cls({k: float(w[i]) for k, i in names.items() if abs(w[i]) > 1e-4})
 
 
-def weak_labels(content: str, brand: str | None) -> list[tuple[list[str], int, bool]]:
+def weak_labels(content: str, brand: str | None) -> list[tuple[list[str], list[str], bool]]:
     """Labelled lines of a page whose markup says what its blocks are; none of other pages."""
     if not TRUSTED.search(content):
         return []
-    return [(keys, n, mark in BODY) for _, mark, _, keys, n in page_nodes(content, brand) if mark in BODY or mark in CHROME]
+    return [(flags, words, mark in BODY) for _, mark, _, flags, words in page_nodes(content, brand) if mark in BODY or mark in CHROME]
 
 
 def min_cut(costs: list[float], edges: list[tuple[int, int, float]]) -> list[bool]:
     """The labels (True: source side) of least cost. costs: what label False costs more than True, for each node."""
     n = len(costs)
+    weight = [0.0] * n
+    for a, b, c in edges:
+        weight[a] += c
+        weight[b] += c
+    if all(abs(x) >= w for x, w in zip(costs, weight, strict=True)):
+        return [x >= 0 for x in costs]
     near: list[dict[int, float]] = [{} for _ in range(n)]
     for a, b, c in edges:
         if a != b and c > 0:
@@ -208,13 +224,13 @@ def min_cut(costs: list[float], edges: list[tuple[int, int, float]]) -> list[boo
     return label
 
 
-def body_lines(content: str, brand: str | None, classifier: Classifier) -> list[int]:
+def body_lines(content: str, brand: str | None, classifier: Classifier, plain: str | None = None, text: str | None = None) -> list[int]:
     """The numbers of the lines of the main body."""
-    nodes = page_nodes(content, brand)
+    nodes = page_nodes(content, brand, plain, text)
     trusted = bool(TRUSTED.search(content))
     costs, edges, last = [], [], {}
-    for k, (_, mark, sign, keys, n) in enumerate(nodes):
-        c = max(-9.0, min(9.0, classifier.score(keys, n)))
+    for k, (_, mark, sign, flags, words) in enumerate(nodes):
+        c = max(-9.0, min(9.0, classifier.score(flags, words)))
         if trusted:
             c += MARKUP if mark in BODY else -MARKUP if mark in CHROME else 0.0
         costs.append(c)
@@ -256,10 +272,12 @@ def main_body(pages: DataFrame, sites: DataFrame, model: Model, page: str = "pag
             at, lines = [], []
             for i, (text, brand) in enumerate(zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)):
                 text = m.restore(text)[1]
-                share, inside = residue_share(text)
+                plain = bare(text)
+                seen = shown(plain)
+                share, inside = residue_of(text, seen)
                 if share >= residue or inside:
                     continue
-                own = body_lines(text, brand, c)
+                own = body_lines(text, brand, c, plain, seen)
                 at += [i] * len(own)
                 lines += own
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int32())), pa.array(lines, pa.int32())], ["page", "line_no"])

@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 #: The most frequent words that make the model.
 VOCABULARY = 60_000
 PIECE = re.compile(r"[^\W\d_]+|[^\x00-\x7f]")
+COUNTED = re.compile(r"[A-Za-z]*[^\W\d_\x00-\x7f][^\W\d_]*|[^\x00-\x7f]")
 CHUNK = re.compile(r"[A-Za-z]*[^\x00-\x7f](?:[A-Za-z]|[^\x00-\x7f])*")
 TAG = re.compile(r"<[/!?]?[A-Za-z][^<>]*>")
 LOST = "�"
@@ -42,6 +43,9 @@ CHANNELS = (
     )),
     (("utf-8", "cp1252"), ("utf-8", "cp1252")), (("utf-8", "cp1251"), ("utf-8", "cp1251")), (("utf-8", "latin-1"), ("utf-8", "latin-1")), (("utf-8", "cp1252"), ("utf-8", "cp1251")), (("utf-8", "cp1251"), ("utf-8", "cp1252")),
 )
+#: What only the channels between the two Russian 8-bit encodings can make of letters in one alphabet: their bytes form no UTF-8.
+FLIPS = tuple(k for k, c in enumerate(CHANNELS) if c in ((("cp1251", "koi8-r"),), (("koi8-r", "cp1251"),)))
+PLAIN = re.compile("[А-Я]?[а-я]{3,}")
 # Punctuation that stands beside words in clean text.
 PUNCTUATION = frozenset("«»–—“”„…’‘№₽€©·›‹\xa0•")
 #: Characters that restored text hardly holds.
@@ -123,7 +127,9 @@ class Model:
         return Model({w: n for w, n in self.counts.items() if w not in bad})
 
     def word(self, w: str) -> float:
-        """The log-probability of a piece."""
+        """The log-probability of a piece; words of ASCII are alike under every channel."""
+        if w.isascii():
+            return -9.0
         n = self.counts.get(w, 0)
         if n < 3:
             f = self.fold.get(w.lower(), 0)
@@ -154,7 +160,7 @@ class Model:
         return re.sub(rf"(?:[^\W\d_]|{LOST})+", best, text)
 
     def known(self, w: str) -> bool:
-        return self.counts.get(w, 0) >= 3 or self.fold.get(w.lower(), 0) >= 3
+        return w.isascii() or self.counts.get(w, 0) >= 3 or self.fold.get(w.lower(), 0) >= 3
 
     def options(self, chunk: str) -> tuple:
         """((channel, score, text), ...) of a chunk, the unchanged one first.
@@ -166,7 +172,8 @@ class Model:
             if len(self.memo) > 300_000:
                 self.memo.clear()
             got = [(-1, self.score(chunk), chunk)]
-            for k, ch in enumerate(CHANNELS):
+            for k in FLIPS if PLAIN.fullmatch(chunk) else range(len(CHANNELS)):
+                ch = CHANNELS[k]
                 t = _undo(chunk, ch)
                 if t is None or t == chunk:
                     continue
@@ -176,7 +183,10 @@ class Model:
                 if ch[0][0] == "utf-8":
                     own += 2.5 * (len(chunk) - len(t)) - 15.0 * len(STRANGE.findall(t))
                 else:
-                    own -= sum((0.0 if self.known(p) else 8.0) if p[0].isalpha() else 1.5 for p in PIECE.findall(t))
+                    parts = PIECE.findall(t)
+                    own -= sum((4.0 if p.isascii() else 0.0 if self.known(p) else 8.0) if p[0].isalpha() else 1.5 for p in parts)
+                    if any(c < "\x80" for c in chunk) and not self.counts.get(t, 0) >= 3:
+                        own -= 20.0
                 got.append((k, own, t))
             got = self.memo[chunk] = tuple(got)
         return got
@@ -186,7 +196,7 @@ class Model:
         if len(self.clean) > 300_000:
             self.clean.clear()
         pieces = PIECE.findall(chunk)
-        if all(p in PUNCTUATION or (len(p) > 1 or len(pieces) == 1) and p[0].isalpha() and self.counts.get(p, 0) >= 3 for p in pieces):
+        if all(p in PUNCTUATION or (len(p) > 1 or len(pieces) == 1) and p[0].isalpha() and (p.isascii() or self.counts.get(p, 0) >= 3) for p in pieces):
             return True
         o = self.options(chunk)
         return all(s <= o[0][1] for _, s, _ in o[1:])
@@ -256,14 +266,14 @@ class Model:
 
 
 def word_counts(texts: DataFrame, text: str) -> DataFrame:
-    """(word, n) over all texts: runs of letters, and characters beyond ASCII that are no letters. Counted in each worker first."""
+    """(word, n) over all texts: words with a letter beyond ASCII, and characters beyond it that are no letters. Counted in each worker first."""
     rows = texts.select(F.col(text).alias("t")).filter("t is not null")
 
     def count(batches):
         c: Counter = Counter()
         for b in batches:
             for t in b.column(0).to_pylist():
-                c.update(PIECE.findall(TAG.sub(" ", t)))
+                c.update(COUNTED.findall(t))
             if len(c) > 500_000:
                 yield pa.RecordBatch.from_arrays([pa.array(list(c)), pa.array(list(c.values()), pa.int64())], ["word", "n"])
                 c.clear()

@@ -158,7 +158,11 @@ def residue_share(content: str | None, model: Model | None = None, line_cover: f
         return 0.0, False
     if model is not None:
         content = model.restore(content)[1]
-    text = visible(content)
+    return residue_of(content, visible(content), line_cover)
+
+
+def residue_of(content: str, text: str, line_cover: float = 0.5) -> tuple[float, bool]:
+    """The same of a restored content and its visible text."""
     covered, found, seen = 0, False, -1
     low = text.lower()
     if len(low) != len(text):  # a letter that is longer in lower case: look at every line

@@ -14,7 +14,8 @@ TAG = re.compile(r"<[/!?]?[A-Za-z][^<>]*>")
 
 
 def _blank(m: re.Match) -> str:
-    return " " + "\n" * m[0].count("\n")
+    t = m[0]
+    return " " + "\n" * t.count("\n") if "\n" in t else " "
 
 
 def bare(content: str) -> str:
@@ -24,9 +25,13 @@ def bare(content: str) -> str:
 
 def visible(content: str) -> str:
     """The visible text with the content's line breaks. An entity that stands for a line break becomes a space."""
-    text = content
+    return shown(bare(content))
+
+
+def shown(text: str) -> str:
+    """The visible text of a content without hidden parts."""
     if "<" in text:
-        text = TAG.sub(_blank, HIDDEN.sub(_blank, text))
+        text = TAG.sub(_blank, text)
     if "&" in text:
         text = "\n".join(html.unescape(x).replace("\n", " ") if "&" in x else x for x in text.split("\n"))
     return text
