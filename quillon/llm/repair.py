@@ -186,7 +186,7 @@ class Model:
                     parts = PIECE.findall(t)
                     own -= sum((4.0 if p.isascii() else 0.0 if self.known(p) else 8.0) if p[0].isalpha() else 1.5 for p in parts)
                     if any(c < "\x80" for c in chunk) and not self.counts.get(t, 0) >= 3:
-                        own -= 20.0
+                        continue  # a word of ASCII letters with others among them must come out as a word
                 got.append((k, own, t))
             got = self.memo[chunk] = tuple(got)
         return got
