@@ -29,9 +29,9 @@ from pyspark.sql import functions as F
 from quillon.llm.repair import Model, worker_model
 from quillon.llm.residue import residue_of
 from quillon.llm.visible import bare, shown
-from quillon.sources.tables import if_small
+from quillon.sources.tables import cut, if_small
 
-SAMPLE_PAGES = 6_000
+SAMPLE_PAGES = 2_500
 NEAR, ALIKE, MARKUP = 0.35, 0.9, 6.0
 
 # Tags, roles and class names that say what a block is.
@@ -253,7 +253,8 @@ def _with_brand(pages: DataFrame, sites: DataFrame, page: str, site: str, conten
 
 def train(rows: DataFrame, sample_pages: int = SAMPLE_PAGES) -> Classifier:
     """A classifier from rows (page, content, brand): of at most ``sample_pages`` pages, those of the smallest hashes."""
-    sample = rows.filter(F.col("content").rlike(TRUSTED.pattern)).orderBy(F.xxhash64("page"), "page").limit(sample_pages)
+    ids = rows.filter(F.col("content").rlike(TRUSTED.pattern)).select(F.col("page").alias("_p")).orderBy(F.xxhash64("_p"), "_p").limit(sample_pages)
+    sample = rows.join(F.broadcast(cut(ids)), F.col("page") == F.col("_p"), "left_semi")  # at most sample_pages ids
     out = []
     for r in sample.toLocalIterator():  # at most sample_pages rows
         out += weak_labels(r["content"], r["brand"])
