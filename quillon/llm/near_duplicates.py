@@ -6,11 +6,11 @@ minimum's floating-point form. Bands of registers are hashed; records that share
 Jaccard estimate of the registers, corrected for the registers' chance collisions, drops most false ones, and
 the sets themselves decide. Linked records form groups by iterated star contraction.
 
-With 128 bands of 5 registers, a pair at similarity 0.6 is missed with a probability of 4e-4 (it must share
-two bands), one at 0.65 of 3e-6, one at 0.7 of 6e-9.
+With 128 bands of 5 registers, a pair at similarity 0.6 is missed with a probability of 6e-5, one at 0.65 of
+1e-7 by the bands; 256 register bits that stand beside the ids in a bucket drop chance pairs at once.
 
-Scale: exact copies are one record until the end. A band's rows are counted before any pair is made: bands
-of two give their pair, bands of up to ``SMALL`` their pairs, and in larger ones members are compared with
+Scale: exact copies are one record until the end. A band's rows are counted before any pair is made: only
+bands that are shared go on; in those of up to ``SMALL`` members pairs pass if their bits allow, and in larger ones members are compared with
 representatives round by round until the links found connect all that any pair would, so no bucket is
 gathered in a task and none is cut. Only candidates' texts are read again. Links, labels and groups stay
 in tables; lineage is cut by written tables.
@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from quillon.llm.visible import visible
 from quillon.sources.tables import cut, if_small
 
-BANDS, ROWS, MANTISSA, SMALL, LEADERS = 128, 5, 10, 64, 64
+BANDS, ROWS, MANTISSA, SMALL, LEADERS, BITS = 128, 5, 10, 64, 64, 256
 _WORDS: dict[str, int] = {}
 
 
@@ -109,8 +109,8 @@ def sketches(rows: DataFrame, key: str, text: str, width: int, least_words: int)
     return src.mapInArrow(run, f"id {src.schema['id'].dataType.simpleString()}, same binary, n int, sketch binary")
 
 
-def _bands(sk: DataFrame) -> DataFrame:
-    """(key, id): a row for each band of a sketch."""
+def _bands(sk: DataFrame, bits: bool = False) -> DataFrame:
+    """(key, id[, bits]): a row for each band of a sketch; bits: the last mantissa bits of ``BITS`` registers as longs."""
 
     def run(batches):
         salt = np.arange(BANDS, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
@@ -123,11 +123,36 @@ def _bands(sk: DataFrame) -> DataFrame:
                 for k in range(ROWS):
                     h = (h ^ r[:, :, k]) * np.uint64(0xBF58476D1CE4E5B9)
                     h ^= h >> np.uint64(31)
-            at = np.repeat(np.arange(b.num_rows), BANDS)
-            yield pa.RecordBatch.from_arrays([pa.array(h.reshape(-1).view(np.int64)), b.column(0).take(pa.array(at))], ["key", "id"])
+            at = pa.array(np.repeat(np.arange(b.num_rows), BANDS))
+            columns = [pa.array(h.reshape(-1).view(np.int64)), b.column(0).take(at)]
+            if bits:
+                low = np.packbits((r.reshape(b.num_rows, -1)[:, :BITS] & 1).astype(np.uint8), axis=1).view(np.int64)
+                columns += [pa.array(np.ascontiguousarray(low[:, k])).take(at) for k in range(BITS // 64)]
+            yield pa.RecordBatch.from_arrays(columns, ["key", "id", *(f"b{k}" for k in range(BITS // 64) if bits)])
 
     kind = sk.schema["id"].dataType.simpleString()
-    return sk.select("id", "sketch").mapInArrow(run, f"key bigint, id {kind}")
+    more = "".join(f", b{k} bigint" for k in range(BITS // 64)) if bits else ""
+    return sk.select("id", "sketch").mapInArrow(run, f"key bigint, id {kind}{more}")
+
+
+def _small_buckets(members: DataFrame, least: float) -> DataFrame:
+    """(a, b): the pairs within buckets (key, id, bits) of at most ``SMALL`` members whose bits allow a similarity of ``least``.
+
+    Bits of unlike registers differ half the time, so at similarity s a share of (1 - s) / 2 differs; four
+    standard errors are allowed on top."""
+    share = (1 - least) / 2
+    most = int(BITS * share + 4 * (BITS * share * (1 - share)) ** 0.5)
+    names = [f"b{k}" for k in range(BITS // 64)]
+    lists = members.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("id", *names))).alias("v"))
+
+    def differ(x, y):
+        return sum((F.bit_count(x[n].bitwiseXOR(y[n])) for n in names[1:]), F.bit_count(x[names[0]].bitwiseXOR(y[names[0]])))
+
+    def partners(x, i):
+        rest = F.filter(F.slice(F.col("v"), i + 2, F.lit(SMALL)), lambda y: differ(x, y) <= most)
+        return F.transform(rest, lambda y: F.struct(x["id"].alias("a"), y["id"].alias("b")))
+
+    return lists.select(F.explode(F.flatten(F.transform("v", partners))).alias("p")).select("p.a", "p.b").distinct()
 
 
 def _likely(pairs: DataFrame, sk: DataFrame, least: float) -> DataFrame:
@@ -196,13 +221,9 @@ def similar_groups(rows: DataFrame, key: str, text: str, threshold: float = 0.8,
     copies = cut(sk.select("id", "same").join(classes, "same").filter("id <> head").select(F.col("head").alias("a"), F.col("id").alias("b")).distinct())
     alone = sk.join(if_small(copies.select(F.col("b").alias("id"))), "id", "left_anti")
     bands = _bands(alone)
-    keys = cut(bands.groupBy("key").agg(F.count("*").alias("c"), F.min("id").alias("lo"), F.max("id").alias("hi")).filter("c > 1"))
-    twos = keys.filter("c = 2").select(F.col("lo").alias("a"), F.col("hi").alias("b"))
-    some = keys.filter(f"c > 2 and c <= {SMALL}").select("key")
-    lists = bands.join(if_small(some), "key", "left_semi").groupBy("key").agg(F.array_sort(F.collect_list("id")).alias("v"))  # at most SMALL ids
-    tails = F.flatten(F.transform("v", lambda x, i: F.transform(F.slice(F.col("v"), i + 2, F.lit(SMALL)), lambda y: F.struct(x.alias("a"), y.alias("b")))))
-    threes = lists.select(F.explode(tails).alias("p")).select("p.a", "p.b")
-    shared = twos.unionByName(threes).groupBy("a", "b").count().filter("count > 1").select("a", "b")
+    keys = cut(bands.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1"))
+    some = keys.filter(f"c <= {SMALL}").select("key")
+    shared = _small_buckets(_bands(alone, bits=True).join(if_small(some), "key", "left_semi"), threshold)
     check = lambda p: _similar(cut(_likely(p, sk, threshold - slack)), rows, key, text, width, least_words, threshold)
     links = cut(check(cut(shared)).unionByName(copies))
     large = keys.filter(f"c > {SMALL}").select("key")
