@@ -7,7 +7,7 @@ Jaccard estimate of the registers, corrected for the registers' chance collision
 the sets themselves decide. Linked records form groups by iterated star contraction.
 
 With 128 bands of 5 registers, a pair at similarity 0.6 is missed with a probability of 6e-5, one at 0.65 of
-1e-7 by the bands; 256 register bits that stand beside the ids in a bucket drop chance pairs at once.
+1e-7 by the bands; 512 register bits that stand beside the ids in a bucket drop chance pairs at once.
 
 Scale: exact copies are one record until the end. A band's rows are counted before any pair is made: only
 bands that are shared go on; in those of up to ``SMALL`` members pairs pass if their bits allow, and in larger ones members are compared with
@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from quillon.llm.visible import visible
 from quillon.sources.tables import cut, if_small
 
-BANDS, ROWS, MANTISSA, SMALL, LEADERS, BITS = 128, 5, 10, 64, 64, 256
+BANDS, ROWS, MANTISSA, SMALL, LEADERS, BITS = 128, 5, 10, 64, 64, 512
 _WORDS: dict[str, int] = {}
 
 
@@ -158,6 +158,7 @@ def _small_buckets(members: DataFrame, least: float) -> DataFrame:
 def _likely(pairs: DataFrame, sk: DataFrame, least: float) -> DataFrame:
     """The pairs whose corrected estimate reaches ``least``."""
     kind = sk.schema["id"].dataType.simpleString()
+    sk = sk.join(if_small(cut(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())), "id", "left_semi")
     both = pairs.join(sk.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa")), "a").join(sk.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb")), "b")
 
     def run(batches):
