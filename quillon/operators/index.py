@@ -66,7 +66,7 @@ def delete_pages(index: Index, gone: DataFrame) -> Index:
     gone = gone.select("page_id").distinct()
     lost = index.postings.join(gone, "page_id", "left_semi")
     minus = frequencies(lost).withColumn("frequency", -F.col("frequency"))
-    return Index(index.postings.join(gone, "page_id", "left_anti"), upsert_frequencies(index.frequencies, minus))
+    return Index(index.postings.join(gone, "page_id", "left_anti").select(index.postings.columns), upsert_frequencies(index.frequencies, minus))
 
 
 def add_pages(index: Index, new: DataFrame) -> Index:
