@@ -2,11 +2,11 @@
 
 The histogram of item sizes (never more rows than the capacity) defines a configuration linear program: a
 configuration is a multiset of sizes within the capacity, and the fewest copies of configurations that cover
-the histogram are sought. Multiplicative weights price the sizes; a knapsack dynamic program finds the best
-configuration for the prices. The fractional solution is rounded down to whole copies that the
-histogram has items for; what remains is filled largest first, again as whole configurations with their
-multiplicity, so the plan's size depends on the capacity only. Items then take the plan's slots by their rank
-within their size.
+the histogram are sought. Multiplicative weights price the sizes, starting from their volume; a knapsack dynamic
+program finds the best configuration for the prices, round by round, until every size is covered. The fractional
+solution is rounded to whole copies that the histogram has items for; what remains is filled largest first, again as
+whole configurations with their multiplicity, so the plan's size depends on the capacity only. Where largest first
+alone needs fewer containers, its plan is taken. Items then take the plan's slots by their rank within their size.
 
 Scale: the driver sees the histogram alone. Ranks come from windows over (size, salt) with as many salts as
 keep a window under a million rows; offsets of the salts are added by a join on the same key. The plan is
@@ -26,67 +26,73 @@ from pyspark.sql import functions as F
 from quillon.sources.tables import cut
 
 SALT_ROWS = 1_000_000
+#: The sizes that a round of the weights prices first.
+PRICED = 256
 
 
 def price_configuration(value: np.ndarray, sizes: np.ndarray, capacity: int, most: np.ndarray) -> dict[int, int]:
-    """The multiset of sizes within the capacity with the highest total value, by dynamic programming; at most ``most`` of each.
-
-    The program is unbounded; a size it takes more often than there are items of is cut back."""
-    best, choice = np.zeros(capacity + 1), np.zeros(capacity + 1, np.int64)
-    for room in range(1, capacity + 1):
-        n = np.searchsorted(sizes, room, "right")
-        if n:
-            gain = best[room - sizes[:n]] + value[:n]
-            k = int(gain.argmax())
-            if gain[k] > best[room - 1]:
-                best[room], choice[room] = gain[k], sizes[k]
-                continue
-        best[room], choice[room] = best[room - 1], 0
+    """The multiset of ascending sizes within the capacity with the highest total value; at most ``most`` of each.
+
+    A dynamic program over the room, with each size's items in lots of 1, 2, 4, ...; of the sizes over half the capacity
+    one at most fits, so the best of them is looked up at the end."""
+    best, lots = np.zeros(capacity + 1), []
+    half = int(np.searchsorted(sizes, capacity // 2, "right"))
+    for k in range(half):
+        left, many = min(int(most[k]), capacity // int(sizes[k])), 1
+        while left > 0:
+            n = min(many, left)
+            left, many, w = left - n, 2 * many, n * int(sizes[k])
+            gain = best[:-w] + n * value[k]
+            better = gain > best[w:]
+            np.copyto(best[w:], gain, where=better)
+            lots.append((int(sizes[k]), n, w, better))
     out: dict[int, int] = {}
     room = capacity
-    while room > 0:
-        s = int(choice[room])
-        if s:
-            out[s] = out.get(s, 0) + 1
-        room -= s or 1
-    limit = dict(zip(sizes.tolist(), most.tolist(), strict=True))
-    return {s: min(n, limit[s]) for s, n in out.items()}
-
-
-def fractional_solution(hist: dict[int, int], capacity: int, rounds: int = 120, eta: float = 0.5) -> list[tuple[dict[int, int], float]]:
-    """(configuration, copies) that cover the histogram fractionally, by multiplicative weights."""
+    if half < len(sizes):
+        gain = best[capacity - sizes[half:]] + value[half:]
+        k = int(gain.argmax())
+        if gain[k] > best[capacity]:
+            out[int(sizes[half + k])] = 1
+            room -= int(sizes[half + k])
+    for s, n, w, better in reversed(lots):
+        if room >= w and better[room - w]:
+            out[s] = out.get(s, 0) + n
+            room -= w
+    return out
+
+
+def fractional_solution(hist: dict[int, int], capacity: int, levels: float = 2.0, eta: float = 1.0) -> list[tuple[dict[int, int], float]]:
+    """(configuration, copies) that cover the histogram fractionally, by multiplicative weights.
+
+    Rounds go on until every size is covered ``levels`` times, then all copies are divided by the least coverage. A
+    round raises some size by a whole level, and no size gets further ahead than log(capacity) / eta levels, so the
+    rounds are bounded by sizes * (levels + log(capacity) / eta). The least covered ``PRICED`` sizes are priced first,
+    all of them where those fill no container."""
     sizes = np.array(sorted(hist), np.int64)
     need = np.array([hist[s] for s in sizes], float)
+    most = need.astype(np.int64)
     at = {int(s): k for k, s in enumerate(sizes)}
-    covered, found = np.zeros(len(sizes)), []
-    for _ in range(rounds):
-        weight = np.exp(-eta * (covered - covered.min()))
-        c = price_configuration(weight / need * sizes / sizes.max(), sizes, capacity, need.astype(np.int64))
-        gain = np.zeros(len(sizes))
-        for s, n in c.items():
-            gain[at[s]] = n / need[at[s]]
+    covered, found = np.zeros(len(sizes)), {}
+    while covered.min() < levels:
+        value = np.exp(-eta * (covered - covered.min())) * sizes
+        c: dict[int, int] = {}
+        if len(sizes) > PRICED:
+            own = np.sort(np.argpartition(covered, PRICED)[:PRICED])
+            c = price_configuration(value[own], sizes[own], capacity, most[own])
+        if sum(s * n for s, n in c.items()) < 0.999 * capacity:
+            c = price_configuration(value, sizes, capacity, most)
+        own = np.array([at[s] for s in c])
+        gain = np.array(list(c.values())) / need[own]
         step = 1 / gain.max()
-        found.append((c, step))
-        covered += gain * step
-    # Sizes that no round reached get configurations of their own below; scale what is covered to one.
-    scale = 1 / max(covered.max(), 1e-9)
-    return [(c, x * scale) for c, x in found]
+        key = tuple(sorted(c.items()))
+        found[key] = found.get(key, 0.0) + step
+        covered[own] += gain * step
+    return [(dict(c), x / covered.min()) for c, x in found.items()]
 
 
-def make_plan(hist: dict[int, int], capacity: int, rounds: int = 120) -> list[tuple[dict[int, int], int]]:
-    """(configuration, copies) that hold exactly the histogram's items."""
-    left = {s: n for s, n in hist.items() if n > 0 and 0 < s <= capacity}
-    plan: list[tuple[dict[int, int], int]] = []
-    if not left:
-        return plan
-    for c, x in fractional_solution(left, capacity, rounds):
-        if sum(s * n for s, n in c.items()) < 0.985 * capacity:
-            continue
-        copies = min([int(x), *(left[s] // n for s, n in c.items())])
-        if copies > 0:
-            plan.append((c, copies))
-            for s, n in c.items():
-                left[s] -= n * copies
+def largest_first(left: dict[int, int], capacity: int) -> list[tuple[dict[int, int], int]]:
+    """(configuration, copies) that hold all items, each container filled by the largest that fit."""
+    left, plan = dict(left), []
     order = sorted((s for s in left if left[s] > 0), reverse=True)
     while order:
         c, room = {}, capacity
@@ -103,6 +109,32 @@ def make_plan(hist: dict[int, int], capacity: int, rounds: int = 120) -> list[tu
     return plan
 
 
+def whole_copies(hist: dict[int, int], solution: list[tuple[dict[int, int], float]]) -> tuple[list[tuple[dict[int, int], int]], dict[int, int]]:
+    """(whole copies of a fractional solution that there are items for, the items left over).
+
+    In the order of their largest sizes the fractions below one copy are handed on to the next configuration."""
+    left, plan, carry = dict(hist), [], 0.0
+    for c, x in sorted(solution, key=lambda r: sorted(r[0].items(), reverse=True), reverse=True):
+        copies = min([int(x + carry + 1e-9), *(left[s] // n for s, n in c.items())])
+        carry = min(x + carry - copies, 1.0)
+        if copies > 0:
+            plan.append((c, copies))
+            for s, n in c.items():
+                left[s] -= n * copies
+    return plan, left
+
+
+def make_plan(hist: dict[int, int], capacity: int, levels: float = 2.0) -> list[tuple[dict[int, int], int]]:
+    """(configuration, copies) that hold exactly the histogram's items."""
+    hist = {s: n for s, n in hist.items() if n > 0 and 0 < s <= capacity}
+    if not hist:
+        return []
+    plan, left = whole_copies(hist, fractional_solution(hist, capacity, levels))
+    plan += largest_first(left, capacity)
+    alone = largest_first(hist, capacity)
+    return alone if sum(n for _, n in alone) < sum(n for _, n in plan) else plan
+
+
 def slots(plan: list[tuple[dict[int, int], int]]) -> dict[int, np.ndarray]:
     """By size the rows (first rank, copies of the size in a container, first container) of its slots."""
     out: dict[int, list] = {}
@@ -124,12 +156,12 @@ def pieces(sizes: DataFrame, capacity: int) -> DataFrame:
     return cut_.select("key", "piece", start.alias("start"), F.least(F.col("tokens") - start, F.lit(capacity)).cast("int").alias("size"))
 
 
-def pack(sizes: DataFrame, capacity: int, rounds: int = 120) -> DataFrame:
+def pack(sizes: DataFrame, capacity: int, levels: float = 2.0) -> DataFrame:
     """(key, piece, start, size, container) of items (key, tokens)."""
     spark = sizes.sparkSession
     items = cut(pieces(sizes, capacity))
     hist = {r[0]: r[1] for r in items.groupBy("size").count().collect()}  # at most capacity + 1 rows
-    plan = make_plan(hist, capacity, rounds)
+    plan = make_plan(hist, capacity, levels)
     total = max(1, sum(n for _, n in plan))
     table = spark.sparkContext.broadcast(slots(plan))
     salts = max(1, -(-max(hist.values(), default=1) // SALT_ROWS))

@@ -127,6 +127,25 @@ def test_packing(spark):
     assert packing.pack(spark.createDataFrame([], "key long, tokens long"), 100).collect() == []
 
 
+def test_configurations_carry_the_plan():
+    r, hist, capacity = random.Random(3), Counter(), 512
+    for _ in range(150):
+        a = r.randint(130, 200)
+        b = r.randint(130, min(250, capacity - a - 129))
+        hist.update((a, b, capacity - a - b))  # only right triplets fill a container
+    solution = packing.fractional_solution(hist, capacity)
+    for s, n in hist.items():
+        assert sum(x * c.get(s, 0) for c, x in solution) >= n * (1 - 1e-9)
+    plan, left = packing.whole_copies(hist, solution)
+    assert sum(n * sum(c.values()) for c, n in plan) > 0.6 * sum(hist.values())
+    full, used = packing.make_plan(hist, capacity), Counter()
+    for c, n in full:
+        assert sum(s * k for s, k in c.items()) <= capacity
+        used.update({s: k * n for s, k in c.items()})
+    assert used == hist
+    assert sum(n for _, n in full) < sum(n for _, n in packing.largest_first(hist, capacity))
+
+
 def test_splitting(spark, encoder):
     r = random.Random(4)
     text = " ".join(" ".join(r.choices(["river", "bridge", "lamp", "печка", "сад"], k=9)) + ". " for _ in range(120))
