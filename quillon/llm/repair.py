@@ -34,6 +34,12 @@ COUNTED = re.compile(r"[A-Za-z]*[^\W\d_\x00-\x7f][^\W\d_]*|[^\x00-\x7f]")
 CHUNK = re.compile(r"[A-Za-z]*[^\x00-\x7f](?:[A-Za-z]|[^\x00-\x7f])*")
 TAG = re.compile(r"<[/!?]?[A-Za-z][^<>]*>")
 LOST = "�"
+#: A whole letter of UTF-8 (group 1), or what is left of one where bytes are lost (0xFF) or missing.
+LETTER = re.compile(
+    rb"([\x00-\x7f]|[\xc2-\xdf][\x80-\xbf]|(?:\xe0[\xa0-\xbf]|[\xe1-\xec\xee\xef][\x80-\xbf]|\xed[\x80-\x9f])[\x80-\xbf]|(?:\xf0[\x90-\xbf]|[\xf1-\xf3][\x80-\xbf]|\xf4[\x80-\x8f])[\x80-\xbf]{2})"
+    rb"|[\xc2-\xdf]\xff?|[\xe0-\xef][\x80-\xbf\xff]{0,2}|[\xf0-\xf4][\x80-\xbf\xff]{0,3}|\xff[\x80-\xbf\xff]?[\x80-\xbf]{0,2}|[^\xff]",
+    re.S,
+)
 # The pairs (true encoding, wrong decoding).
 CHANNELS = (
     *((t,) for t in (
@@ -80,9 +86,15 @@ def _undo_one(text: str, true: str, wrong: str) -> str | None:
             raw.append(table[c])
         else:
             return None
+    if lost:
+        if true != "utf-8":
+            return None
+        out = _letters(raw)
+        bad = out.count(LOST)
+        good = sum(c > "\x7f" for c in out) - bad
+        return out if good > bad and good >= 2 else None
     try:
-        out = raw.decode(true)
-        return out if not lost else (out if true == "utf-8" else None)
+        return raw.decode(true)
     except UnicodeDecodeError:
         if true != "utf-8":
             return None
@@ -92,6 +104,11 @@ def _undo_one(text: str, true: str, wrong: str) -> str | None:
     return out if bad <= 2 and good >= 2 * bad and good >= 2 else None
 
 
+def _letters(raw: bytes) -> str:
+    """UTF-8 in which 0xFF stands for a lost byte; one U+FFFD for each damaged letter."""
+    return "".join(m[0].decode("utf-8", "replace") if m[1] else LOST for m in LETTER.finditer(raw))
+
+
 def _undo(text: str, channel) -> str | None:
     for true, wrong in channel:
         text = _undo_one(text, true, wrong)

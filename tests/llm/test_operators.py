@@ -66,6 +66,12 @@ def test_wildcards_are_filled():
     assert repair.Model({"jalapeño": 9}).fill("jalape�o") == "jalapeño"
 
 
+@pytest.mark.parametrize("text", ["сканер", "касса", "Новая", "старая касса", "Новая касса — сканер"])
+def test_lost_bytes_inside_letters_are_filled(text):
+    m = repair.Model({w: 500 for w in ("сканер", "касса", "Новая", "старая", "—")})
+    assert m.restore(text.encode("utf-8").decode("cp1252", "replace")) == (True, text)
+
+
 @pytest.mark.parametrize("content, found", [
     ("<p>Menu</p>\n<h1>404 — page not found</h1>\n<footer>© X · Terms</footer>", True), ("Меню\nДоступ к /a/b-1 запрещён", True), ("<p>Hello {{ user_name }}, the old printer stands there</p>", True),
     ("<p>The template variable <code>{{ price }}</code> is replaced by a number</p>", False), ("The chapter explains why a server answers 404 and how to write a polite page-not-found text. " * 2, False),
