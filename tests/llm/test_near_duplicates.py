@@ -63,3 +63,12 @@ def test_registers_estimate_similarity():
     assert abs(N.estimate(N.registers(a), N.registers(b), len(a), len(b)) - true) < 0.12
     c = N.shingles(" ".join(reversed(WORDS)), 3, 40)
     assert N.estimate(N.registers(a), N.registers(c), len(a), len(c)) < 0.03
+
+
+def test_bits_allow_five_standard_errors(spark):
+    def words(ones):
+        return [sum(1 << k for k in range(max(0, min(60, ones - 60 * n)))) for n in range(8)]
+
+    rows = [(key, key * 10 + i, *words(i * ones)) for key, ones in ((1, 139), (2, 147), (3, 148)) for i in (0, 1)]
+    members = spark.createDataFrame(rows, "key long, id long, " + ", ".join(f"b{k} long" for k in range(8)))
+    assert {tuple(r) for r in N._small_buckets(members, 0.6).collect()} == {(10, 11), (20, 21)}
