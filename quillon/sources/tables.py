@@ -7,7 +7,8 @@ anti-joined from the scan.
 
 from __future__ import annotations
 
-import os
+import atexit
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -57,20 +58,50 @@ def if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share, from ``spark.checkpoint.dir``; one of our own where it is unset."""
+    """The folder that all executors share, from ``spark.checkpoint.dir``. Where it is unset, a folder of our own
+    in local mode; on a cluster an error, as no machine's own folder can be read by the others."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not at:
-        at = os.path.join(os.environ.get("TMPDIR", "/tmp"), f"quillon-{spark.sparkContext.applicationId}")
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        at = tempfile.mkdtemp(prefix="quillon-")
         spark.conf.set("spark.checkpoint.dir", at)
     return at
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def _clean(spark: SparkSession, root: str) -> None:
+    if spark.sparkContext._jsc is not None:
+        _delete(spark, root)
+
+
+_ROOTS: set[str] = set()
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """The same rows, written to the shared folder and read again: lineage ends there."""
+    """The same rows, written to the shared folder and read again: lineage ends there. All such tables of an
+    application lie in one folder, which goes when the driver's process ends; ``uncut`` drops one before that."""
     spark = df.sparkSession
-    at = f"{shared_dir(spark)}/cut-{uuid.uuid4().hex}"
+    root = f"{shared_dir(spark)}/quillon-{spark.sparkContext.applicationId}"
+    if root not in _ROOTS:
+        _ROOTS.add(root)
+        atexit.register(_clean, spark, root)
+    at = f"{root}/cut-{uuid.uuid4().hex}"
     df.write.parquet(at)
-    return spark.read.schema(df.schema).parquet(at)
+    out = spark.read.schema(df.schema).parquet(at)
+    out._cut_path = at
+    return out
+
+
+def uncut(*tables: DataFrame | None) -> None:
+    """Deletes tables that ``cut`` wrote, where nothing reads them any more."""
+    for df in tables:
+        if df is not None and getattr(df, "_cut_path", None):
+            _delete(df.sparkSession, df._cut_path)
 
 
 def swap_table(df: DataFrame, path: str) -> None:
