@@ -1,20 +1,23 @@
 """Groups of records whose word shingles are similar, by HyperMinHash.
 
-A record is the set of its runs of consecutive words. Under each of K permutations its minimum is kept as a
-register: the count of leading zeros and some mantissa bits behind the leading one, which is the head of the
-minimum's floating-point form. Bands of registers are hashed; records that share bands are candidates. The
-Jaccard estimate of the registers, corrected for the registers' chance collisions, drops most false ones, and
-the sets themselves decide. Linked records form groups by iterated star contraction.
-
-With 128 bands of 5 registers, a pair at similarity 0.6 is missed with a probability of 3.2e-5, one at 0.65 of
-1e-7 by the bands; 512 register bits that stand beside the ids in a bucket drop chance pairs at once, and of the
-pairs at 0.6 another 9e-7 (more than 147 bits differ): 3.3e-5 together.
-
-Scale: exact copies are one record until the end. A band's rows are counted before any pair is made: only
-bands that are shared go on; in those of up to ``SMALL`` members pairs pass if their bits allow, and in larger ones members are compared with
-representatives round by round until the links found connect all that any pair would, so no bucket is
-gathered in a task and none is cut. Only candidates' texts are read again. Links, labels and groups stay
-in tables; lineage is cut by written tables.
+A record is the set of its runs of consecutive words. Each of ``SKETCHES`` hash functions sends every run into
+one of ``BUCKETS`` buckets; of the least hash in a bucket the count of leading zeros and some mantissa bits
+behind the leading one are kept, 16 bits together. An empty bucket borrows from a bucket of its sketch that a fixed
+probe order names. Bands of registers, each of five sketches, are hashed to 40 bits; records that share a band meet in its
+bucket. There the Jaccard similarity is estimated from the registers' last bits, corrected for their chance
+collisions, and what the estimate leaves is verified on the sets themselves. Linked records form groups by iterated star
+contraction.
+
+Losses: with 128 bands of 5 registers a pair at similarity 0.6 is missed with a probability of 3.2e-5, one at 0.65
+of 1e-7; the estimate, with five standard errors of slack, drops another 9e-7 of the pairs at 0.6: 3.3e-5 together.
+Sets are known by 64-bit hashes.
+
+Scale: equal sets are one node until the end, and a task sends the bands of a set once. The bands are partitioned by
+key once, sorted, and read as a stream, so no bucket is gathered: members of shared bands go on with 64 bytes of
+register bits each. A bucket of up to ``SMALL`` members gives its pairs at once. Larger ones are compared in blocks of ``BLOCK`` members,
+and every member passes on its nearest partners of other groups only; rounds with more partners follow until
+no pair of two groups is left unverified, so that no link that connects groups is lost. Texts are read again for the wanted records
+alone: a bitmap of fixed size tells which rows can be wanted. Nothing else is broadcast, and nothing depends on a table's size.
 
 Defined results: null and empty texts and those of fewer than ``least_words`` words are in no group; a repeated
 delivery must be dropped by the caller (one row for each id); equal texts are similar whatever their length beyond that.
@@ -22,8 +25,6 @@ delivery must be dropped by the caller (one row for each id); equal texts are si
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -31,11 +32,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillon.llm.visible import visible
-from quillon.sources.tables import cut, if_small
+from quillon.sources.tables import cut, uncut
 
-BANDS, ROWS, MANTISSA, SMALL, LEADERS, BITS = 128, 5, 10, 64, 64, 512
+SKETCHES, BUCKETS, MANTISSA = 40, 16, 10
+BANDS, ROWS, BITS = 128, 5, 512
+SMALL, BLOCK = 64, 8192
+#: Nearest partners that a member of a large bucket passes on in the first round, and the factor for the next ones.
+NEAREST, MORE = 8, 8
 _WORDS: dict[str, int] = {}
 
+_random = np.random.default_rng(20240917)
+SALT = _random.integers(0, 2**64, (SKETCHES, 1), np.uint64)
+ODD = _random.integers(0, 2**64, (SKETCHES, 1), np.uint64) | np.uint64(1)
+PROBES = _random.integers(0, BUCKETS, (64, SKETCHES, BUCKETS))
+
 
 def shingles(text: str | None, width: int = 3, least_words: int = 40) -> np.ndarray:
     """The 64-bit hashes of the distinct runs of words in a text's visible part; empty for short texts."""
@@ -58,142 +68,281 @@ def shingles(text: str | None, width: int = 3, least_words: int = 40) -> np.ndar
     return np.unique(x ^ (x >> np.uint64(32)))
 
 
-@lru_cache(4)
-def _permutations(k: int) -> tuple[np.ndarray, np.ndarray]:
-    r = np.random.default_rng(20240917)
-    return r.integers(0, 2**32, (k, 1), np.uint32) | np.uint32(1), r.integers(0, 2**32, (k, 1), np.uint32)
+def _least(x: np.ndarray) -> np.ndarray:
+    """The least hash of each sketch's buckets, 0 where a bucket is empty; the bucket's bits are shifted out."""
+    with np.errstate(over="ignore"):
+        h = (x ^ SALT) * ODD
+        h ^= h >> np.uint64(29)
+        h *= np.uint64(0xBF58476D1CE4E5B9)
+        h ^= h >> np.uint64(32)
+    h.sort(axis=1)
+    own = (h >> np.uint64(60)).astype(np.intp)
+    first = np.ones(own.shape, bool)
+    first[:, 1:] = own[:, 1:] != own[:, :-1]
+    out = np.zeros((SKETCHES, BUCKETS), np.uint64)
+    s, k = np.nonzero(first)
+    out[s, own[s, k]] = (h[s, k] << np.uint64(4)) | np.uint64(1)
+    return out
+
+
+def registers(x: np.ndarray, block: int = 4096) -> np.ndarray:
+    """The 16-bit registers of a set of hashes, bucket by bucket: neighbours are of different sketches."""
+    least = np.zeros((SKETCHES, BUCKETS), np.uint64)
+    for i in range(0, len(x), block):
+        part = _least(x[i : i + block])
+        least = np.where((least == 0) | ((part != 0) & (part < least)), part, least)
+    held = least.copy()
+    for probe in PROBES:
+        s, k = np.nonzero(least == 0)
+        if not len(s):
+            break
+        least[s, k] = held[s, probe[s, k]]
+    else:
+        s, k = np.nonzero(least == 0)
+        least[s, k] = held[s].max(axis=1)
+    # the head of the floating-point form: exponent (64 - leading zeros) and mantissa
+    head = least.astype(np.float64).view(np.uint64) >> np.uint64(52 - MANTISSA)
+    return (np.uint64((1023 + 64) << MANTISSA) - head).astype(np.uint16).T.reshape(-1)
+
+
+def band_keys(registers_: np.ndarray) -> np.ndarray:
+    """The 40-bit hashes of the bands, five bytes each."""
+    r = registers_.reshape(BANDS, ROWS).astype(np.uint64)
+    h = np.arange(BANDS, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    with np.errstate(over="ignore"):
+        for k in range(ROWS):
+            h = (h ^ r[:, k]) * np.uint64(0xBF58476D1CE4E5B9)
+            h ^= h >> np.uint64(31)
+    return h.view(np.uint8).reshape(BANDS, 8)[:, :5]
 
 
-def registers(x: np.ndarray, k: int = BANDS * ROWS, block: int = 4096) -> np.ndarray:
-    """k registers of 16 bits of a set of hashes: exponent and mantissa head of the minimum."""
-    a, b = _permutations(k)
-    low = (x ^ (x >> np.uint64(31))).astype(np.uint32)
-    least = np.full(k, 2**32 - 1, np.uint32)
-    with np.errstate(over="ignore"):
-        for i in range(0, len(low), block):
-            least = np.minimum(least, (a * low[i : i + block] + b).min(axis=1))
-    bits = np.maximum(least, 1).astype(np.float32).view(np.uint32)
-    return ((bits >> np.uint32(23 - MANTISSA)) - np.uint32(127 << MANTISSA)).astype(np.uint16)
+def register_bits(registers_: np.ndarray) -> bytes:
+    """The last mantissa bits of ``BITS`` registers."""
+    return np.packbits((registers_[:BITS] & 1).astype(np.uint8)).tobytes()
 
 
-@lru_cache(4096)
-def _chance(n: int, m: int) -> float:
-    """How likely the registers of two disjoint sets of 2**(n/4) and 2**(m/4) elements are equal."""
-    k, j = np.meshgrid(np.arange(1, 40), np.arange(2**MANTISSA), indexing="ij")
-    a, b = 2.0**-k * (1 + j / 2**MANTISSA), 2.0**-k * (1 + (j + 1) / 2**MANTISSA)
-    p, q = (np.exp(-(2 ** (s / 4)) * a) - np.exp(-(2 ** (s / 4)) * b) for s in (n, m))
-    return float((p * q).sum())
+def estimate(differing):
+    """The Jaccard similarity of two sets of whose register bits so many differ: bits of unlike registers agree by
+    chance half the time, which is corrected for."""
+    return 1 - 2 * differing / BITS
 
 
-def estimate(r: np.ndarray, s: np.ndarray, n: int, m: int) -> float:
-    """The Jaccard similarity of two register arrays of sets of n and m elements, corrected for chance collisions."""
-    c = _chance(round(4 * np.log2(max(n, 1))), round(4 * np.log2(max(m, 1))))
-    return (float((r == s).mean()) - c) / (1 - c)
+def most_differing(least: float) -> int:
+    """How many bits may differ at a similarity of ``least``: what is expected and five standard errors."""
+    share = (1 - least) / 2
+    return int(BITS * share + 5 * (BITS * share * (1 - share)) ** 0.5)
 
 
 def sketches(rows: DataFrame, key: str, text: str, width: int, least_words: int) -> DataFrame:
-    """(id, same, n, sketch): the hash of the whole set, its size and its registers."""
+    """(id, node, keys, bits): the hash of the whole set, its bands and register bits. A task gives those of a set once, else null."""
     src = rows.select(F.col(key).alias("id"), F.col(text).alias("text")).filter("id is not null and text is not null and text <> ''")
 
     def run(batches):
+        seen: set[int] = set()
         for b in batches:
-            at, same, ns, sk = [], [], [], []
+            at, nodes, keys, bits = [], [], [], []
+            if len(seen) > 2_000_000:
+                seen.clear()
             for i, t in enumerate(b.column(1).to_pylist()):
                 x = shingles(t, width, least_words)
                 if len(x):
                     at.append(i)
-                    same.append(xxhash.xxh3_128_digest(x.tobytes()))
-                    ns.append(len(x))
-                    sk.append(registers(x).tobytes())
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int32())), pa.array(same, pa.binary()), pa.array(ns, pa.int32()), pa.array(sk, pa.binary())], ["id", "same", "n", "sketch"])
+                    node = xxhash.xxh3_64_intdigest(x.tobytes()) - 2**63
+                    nodes.append(node)
+                    if node in seen:
+                        keys.append(None)
+                        bits.append(None)
+                    else:
+                        seen.add(node)
+                        r = registers(x)
+                        keys.append(band_keys(r).tobytes())
+                        bits.append(register_bits(r))
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int32())), pa.array(nodes, pa.int64()), pa.array(keys, pa.binary()), pa.array(bits, pa.binary())], ["id", "node", "keys", "bits"])
 
-    return src.mapInArrow(run, f"id {src.schema['id'].dataType.simpleString()}, same binary, n int, sketch binary")
+    return src.mapInArrow(run, f"id {src.schema['id'].dataType.simpleString()}, node bigint, keys binary, bits binary")
 
 
-def _bands(sk: DataFrame, bits: bool = False) -> DataFrame:
-    """(key, id[, bits]): a row for each band of a sketch; bits: the last mantissa bits of ``BITS`` registers as longs."""
+def _shared_bands(sk: DataFrame) -> DataFrame:
+    """(key, node) of the bands that more than one node has, each once. One shuffle of the bands, by key."""
 
-    def run(batches):
-        salt = np.arange(BANDS, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    def explode(batches):
         for b in batches:
-            if not b.num_rows:
+            if b.num_rows:
+                raw = np.zeros((b.num_rows, BANDS, 8), np.uint8)
+                raw[:, :, :5] = np.frombuffer(b"".join(b.column(1).to_pylist()), np.uint8).reshape(b.num_rows, BANDS, 5)
+                at = pa.array(np.repeat(np.arange(b.num_rows), BANDS))
+                yield pa.RecordBatch.from_arrays([pa.array(raw.reshape(-1, 8).view(np.int64).reshape(-1)), b.column(0).take(at)], ["key", "node"])
+
+    def shared(batches):
+        last: tuple | None = None  # (key, node, whether it was given)
+        for b in batches:
+            k, n = b.column(0).to_numpy(), b.column(1).to_numpy()
+            if not len(k):
                 continue
-            r = np.frombuffer(b"".join(b.column(1).to_pylist()), np.uint16).reshape(b.num_rows, BANDS, ROWS)
-            h = np.broadcast_to(salt, (b.num_rows, BANDS)).copy()
-            with np.errstate(over="ignore"):
-                for k in range(ROWS):
-                    h = (h ^ r[:, :, k]) * np.uint64(0xBF58476D1CE4E5B9)
-                    h ^= h >> np.uint64(31)
-            at = pa.array(np.repeat(np.arange(b.num_rows), BANDS))
-            columns = [pa.array(h.reshape(-1).view(np.int64)), b.column(0).take(at)]
-            if bits:
-                low = np.packbits((r.reshape(b.num_rows, -1)[:, :BITS] & 1).astype(np.uint8), axis=1).view(np.int64)
-                columns += [pa.array(np.ascontiguousarray(low[:, k])).take(at) for k in range(BITS // 64)]
-            yield pa.RecordBatch.from_arrays(columns, ["key", "id", *(f"b{k}" for k in range(BITS // 64) if bits)])
-
-    kind = sk.schema["id"].dataType.simpleString()
-    more = "".join(f", b{k} bigint" for k in range(BITS // 64)) if bits else ""
-    return sk.select("id", "sketch").mapInArrow(run, f"key bigint, id {kind}{more}")
-
-
-def _small_buckets(members: DataFrame, least: float) -> DataFrame:
-    """(a, b): the pairs within buckets (key, id, bits) of at most ``SMALL`` members whose bits allow a similarity of ``least``.
-
-    Bits of unlike registers differ half the time, so at similarity s a share of (1 - s) / 2 differs; five
-    standard errors are allowed on top."""
-    share = (1 - least) / 2
-    most = int(BITS * share + 5 * (BITS * share * (1 - share)) ** 0.5)
-    names = [f"b{k}" for k in range(BITS // 64)]
-    lists = members.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("id", *names))).alias("v"))
+            if last is not None:
+                k, n = np.concatenate([[last[0]], k]), np.concatenate([[last[1]], n])
+            fresh = np.ones(len(k), bool)
+            fresh[1:] = (k[1:] != k[:-1]) | (n[1:] != n[:-1])
+            given = last is not None and last[2]
+            k, n = k[fresh], n[fresh]
+            near = np.zeros(len(k), bool)
+            near[1:] = k[1:] == k[:-1]
+            near[:-1] |= near[1:]
+            more = near.copy()
+            if given:
+                more[0] = False
+            last = (k[-1], n[-1], bool(near[-1]) or (given and len(k) == 1))
+            yield pa.RecordBatch.from_arrays([pa.array(k[more]), pa.array(n[more])], ["key", "node"])
 
-    def differ(x, y):
-        return sum((F.bit_count(x[n].bitwiseXOR(y[n])) for n in names[1:]), F.bit_count(x[names[0]].bitwiseXOR(y[names[0]])))
+    rows = sk.filter("keys is not null").select("node", "keys").mapInArrow(explode, "key bigint, node bigint")
+    return rows.repartition("key").sortWithinPartitions("key", "node").mapInArrow(shared, "key bigint, node bigint")
 
-    def partners(x, i):
-        rest = F.filter(F.slice(F.col("v"), i + 2, F.lit(SMALL)), lambda y: differ(x, y) <= most)
-        return F.transform(rest, lambda y: F.struct(x["id"].alias("a"), y["id"].alias("b")))
 
-    return lists.select(F.explode(F.flatten(F.transform("v", partners))).alias("p")).select("p.a", "p.b").distinct()
+def _differing(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The numbers of differing bits between the rows of two arrays of 64-bit words."""
+    out = np.zeros((len(x), len(y)), np.uint16)
+    for w in range(x.shape[1]):
+        out += np.bitwise_count(x[:, w, None] ^ y[None, :, w])
+    return out
 
 
-def _likely(pairs: DataFrame, sk: DataFrame, least: float) -> DataFrame:
-    """The pairs whose corrected estimate reaches ``least``."""
-    kind = sk.schema["id"].dataType.simpleString()
-    sk = sk.join(if_small(cut(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())), "id", "left_semi")
-    both = pairs.join(sk.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa")), "a").join(sk.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb")), "b")
-
-    def run(batches):
-        for p in batches:
-            keep = [estimate(np.frombuffer(x, np.uint16), np.frombuffer(y, np.uint16), n, m) >= least for x, y, n, m in zip(p["sa"], p["sb"], p["na"], p["nb"], strict=True)]
-            yield p.loc[keep, ["a", "b"]]
+def _words(bits: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(bits), np.uint64).reshape(len(bits), BITS // 64)
 
-    return both.select("a", "b", "na", "nb", "sa", "sb").mapInPandas(run, f"a {kind}, b {kind}")
 
+def _bucket_pairs(members: DataFrame, most: int) -> DataFrame:
+    """Of buckets (key, node, bits): (a, b) of the pairs of small ones that the estimate leaves; (key, node, bits) of large ones' members."""
 
-def _similar(pairs: DataFrame, rows: DataFrame, key: str, text: str, width: int, least_words: int, threshold: float) -> DataFrame:
-    """The pairs whose sets reach the threshold exactly. Only their texts are read."""
-    wanted = cut(pairs.select(F.explode(F.array("a", "b")).alias("_k")).distinct())
-    texts = rows.select(F.col(key).alias("id"), F.col(text).alias("text")).join(if_small(wanted), F.col("id") == F.col("_k"), "left_semi")
+    def run(batches):
+        key, nodes, bits, large = None, [], [], False
+        a, b, k, n, v = [], [], [], [], []
+
+        def settle():
+            if not large and len(nodes) > 1:
+                w = _words(bits)
+                for i, j in np.argwhere(np.triu(_differing(w, w) <= most, 1)):
+                    a.append(nodes[i])
+                    b.append(nodes[j])
+
+        def flush():
+            pairs = len(a)
+            pad = lambda x, kind, before, after: pa.concat_arrays([pa.nulls(before, kind), pa.array(x, kind), pa.nulls(after, kind)])
+            out = pa.RecordBatch.from_arrays(
+                [pad(a, pa.int64(), 0, len(k)), pad(b, pa.int64(), 0, len(k)), pad(k, pa.int64(), pairs, 0), pad(n, pa.int64(), pairs, 0), pad(v, pa.binary(), pairs, 0)], ["a", "b", "key", "node", "bits"]
+            )
+            for x in (a, b, k, n, v):
+                x.clear()
+            return out
+
+        for batch in batches:
+            for x, y, z in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if x != key:
+                    settle()
+                    key, nodes, bits, large = x, [], [], False
+                if large:
+                    k.append(x)
+                    n.append(y)
+                    v.append(z)
+                    continue
+                nodes.append(y)
+                bits.append(z)
+                if len(nodes) > SMALL:
+                    k += [key] * len(nodes)
+                    n += nodes
+                    v += bits
+                    nodes, bits, large = [], [], True
+            yield flush()
+        settle()
+        yield flush()
+
+    return members.repartition("key").sortWithinPartitions("key", "node").mapInArrow(run, "a bigint, b bigint, key bigint, node bigint, bits binary")
+
+
+def _near_blocks(members: DataFrame, most: int, nearest: int) -> DataFrame:
+    """(a, b, more): in large buckets (key, node, bits, label) each member's nearest partners of other labels that the estimate
+    leaves, at most ``nearest`` for each pair of blocks; more: whether any were left out there. No pair of blocks is larger than two blocks."""
+    counts = members.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    own = members.join(counts, "key").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    others = F.sequence(F.lit(0), F.col("blocks") - 1)
+    units = own.select("node", "bits", "label", "key", "own", F.explode(others).alias("other")).select(
+        "key", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "own", "node", "bits", "label"
+    )
+
+    def run(t: pa.Table) -> pa.Table:
+        node, label, side = t["node"].to_numpy(), t["label"].to_numpy(), t["own"].to_numpy()
+        w = _words(t["bits"].to_pylist())
+        p, q = t["p"][0].as_py(), t["q"][0].as_py()
+        found, cut_off = set(), False
+        sides = ((side == p, side == q), (side == q, side == p)) if p != q else ((side == p, side == p),)
+        for left, right in sides:
+            x, y = np.flatnonzero(left), np.flatnonzero(right)
+            for i in range(0, len(x), 256):
+                part = x[i : i + 256]
+                d = _differing(w[part], w[y])
+                d[label[part][:, None] == label[y][None, :]] = BITS + 1
+                ok = d <= most
+                many = ok.sum(axis=1)
+                for r in np.flatnonzero(many):
+                    c = np.flatnonzero(ok[r])
+                    if len(c) > nearest:
+                        cut_off = True
+                        c = c[np.argpartition(d[r, c], nearest)[:nearest]]
+                    found |= {(min(node[part[r]], e), max(node[part[r]], e)) for e in node[y[c]]}
+        a, b = zip(*found, strict=True) if found else ((), ())
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "more": pa.array([cut_off] * len(a), pa.bool_())})
+
+    return units.groupBy("key", "p", "q").applyInArrow(run, "a bigint, b bigint, more boolean")
+
+
+BITMAP_WORDS = 2**20
+
+
+def bitmap(values: DataFrame) -> np.ndarray:
+    """A bitmap of fixed size (8 MB) over the hashes of a column of longs: what it lacks is not among the values."""
+    at = values.toDF("h").selectExpr("shiftright(h, 20) ^ h AS x")
+    words = at.selectExpr(f"int(pmod(shiftright(x, 6), {BITMAP_WORDS})) AS w", "shiftleft(1L, int(x & 63)) AS v")
+    got = words.groupBy("w").agg(F.bit_or("v").alias("v")).toArrow()  # at most BITMAP_WORDS rows
+    out = np.zeros(BITMAP_WORDS, np.int64)
+    out[got["w"].to_numpy()] = got["v"].to_numpy()
+    return out
+
+
+def in_bitmap(bits: np.ndarray, values: np.ndarray) -> np.ndarray:
+    at = (values >> 20) ^ values
+    return (bits[(at >> 6) % BITMAP_WORDS] >> (at & 63)) & 1 == 1
+
+
+def _similar(pairs: DataFrame, sk: DataFrame, rows: DataFrame, key: str, text: str, width: int, least_words: int, threshold: float) -> DataFrame:
+    """The pairs of nodes whose sets reach the threshold exactly. Texts are read again; only those the bitmap lets through are looked at."""
+    wanted = cut(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
+    heads = sk.filter("keys is not null").join(wanted, "node", "left_semi").groupBy("node").agg(F.min("id").alias("id"))
+    heads = cut(heads.select("node", "id", F.xxhash64("id").alias("h")))
+    shared = rows.sparkSession.sparkContext.broadcast(bitmap(heads.select("h")))
+    texts = rows.select(F.col(key).alias("id"), F.xxhash64(F.col(key)).alias("h"), F.col(text).alias("text")).filter("text is not null and id is not null")
     kind = texts.schema["id"].dataType.simpleString()
 
     def sets(batches):
-        for p in batches:
-            p["set"] = [shingles(t, width, least_words).tobytes() for t in p["text"]]
-            yield p[["id", "set"]]
+        bits = shared.value
+        for b in batches:
+            at = np.flatnonzero(in_bitmap(bits, b.column(1).to_numpy()))
+            own = [shingles(t, width, least_words).tobytes() for t in b.column(2).take(pa.array(at)).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at)), pa.array(own, pa.binary())], ["id", "set"])
 
-    own = cut(texts.mapInPandas(sets, f"id {kind}, set binary").dropDuplicates(["id"]))
-    both = pairs.join(own.select(F.col("id").alias("a"), F.col("set").alias("sa")), "a").join(own.select(F.col("id").alias("b"), F.col("set").alias("sb")), "b")
+    own = cut(texts.mapInArrow(sets, f"id {kind}, set binary").join(heads.select("id", "node"), "id").dropDuplicates(["node"]).select("node", "set"))
+    both = pairs.join(own.select(F.col("node").alias("a"), F.col("set").alias("sa")), "a").join(own.select(F.col("node").alias("b"), F.col("set").alias("sb")), "b")
 
     def run(batches):
-        for p in batches:
+        for batch in batches:
             keep = []
-            for x, y in zip(p["sa"], p["sb"], strict=True):
+            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
                 x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
                 i = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(i >= threshold * (len(x) + len(y) - i) - 1e-9)
-            yield p.loc[keep, ["a", "b"]]
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return both.select("a", "b", "sa", "sb").mapInPandas(run, f"a {kind}, b {kind}")
+    links = cut(both.select("a", "b", "sa", "sb").mapInArrow(run, "a bigint, b bigint"))
+    uncut(wanted, heads, own)
+    return links
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -207,59 +356,60 @@ def components(links: DataFrame) -> DataFrame:
         large = cut(large)
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
-        edges = cut(small)
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if tuple(now) == before:
+        now_edges = cut(small)
+        uncut(edges, large)
+        edges = now_edges
+        now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+        if now == before:
             break
-        before = tuple(now)
+        before = now
     member = edges.select(F.col("u").alias("id"), F.col("v").alias("group"))
     return member.unionByName(edges.select(F.col("v").alias("id"), F.col("v").alias("group"))).distinct()
 
 
-def similar_groups(rows: DataFrame, key: str, text: str, threshold: float = 0.8, width: int = 5, least_words: int = 40, slack: float = 0.12) -> DataFrame:
-    """(id, group) of the records that are linked to others. slack: how far below the threshold an estimate may lie (4.7 standard errors)."""
+def similar_groups(rows: DataFrame, key: str, text: str, threshold: float = 0.8, width: int = 5, least_words: int = 40) -> DataFrame:
+    """(id, group) of the records that are linked to others; the group is its smallest id."""
     sk = cut(sketches(rows, key, text, width, least_words))
-    classes = sk.groupBy("same").agg(F.min("id").alias("head"), F.count("*").alias("c")).filter("c > 1")
-    copies = cut(sk.select("id", "same").join(classes, "same").filter("id <> head").select(F.col("head").alias("a"), F.col("id").alias("b")).distinct())
-    alone = sk.join(if_small(copies.select(F.col("b").alias("id"))), "id", "left_anti")
-    bands = _bands(alone)
-    keys = cut(bands.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1"))
-    some = keys.filter(f"c <= {SMALL}").select("key")
-    shared = _small_buckets(_bands(alone, bits=True).join(if_small(some), "key", "left_semi"), threshold)
-    check = lambda p: _similar(cut(_likely(p, sk, threshold - slack)), rows, key, text, width, least_words, threshold)
-    links = cut(check(cut(shared)).unionByName(copies))
-    large = keys.filter(f"c > {SMALL}").select("key")
+    most = most_differing(threshold)
+    shared = cut(_shared_bands(sk))
+    bits = sk.filter("bits is not null").select("node", "bits").join(shared.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"])
+    buckets = cut(_bucket_pairs(shared.join(bits, "node").select("key", "node", "bits"), most))
+    check = lambda p: _similar(p, sk, rows, key, text, width, least_words, threshold)
+    pairs = cut(buckets.filter("a is not null").select("a", "b").distinct())
+    links = check(pairs)
+    large = buckets.filter("key is not null").select("key", "node", "bits")
     if not large.isEmpty():
-        links = cut(links.unionByName(_large_buckets(bands.join(if_small(large), "key", "left_semi"), check)).distinct())
-    return components(links)
-
-
-def _large_buckets(members: DataFrame, check) -> DataFrame:
-    """Links within large buckets (key, id), enough of them to connect what is connected.
-
-    In each round some open members are compared with their whole bucket. Then a bucket's largest group (by
-    the links so far) needs no more leaders: a pair of two groups has a member outside the largest. A bucket
-    is done when every member outside its largest group has led, which for one group of copies is the first round."""
-    members = cut(members.distinct())
-    opened, found, led, turn = members, None, None, 0
-    while not opened.isEmpty():
-        lead = cut(opened.groupBy("key", F.pmod(F.xxhash64("id", F.lit(turn)), F.lit(LEADERS)).alias("g")).agg(F.min("id").alias("lead")).select("key", "lead"))
-        pairs = members.join(lead, "key").filter("id <> lead").select("key", "lead", "id")
-        if led is not None:  # with earlier leaders the pair was compared before
-            pairs = pairs.join(led.select("key", F.col("lead").alias("id")), ["key", "id"], "left_anti")
-        links = cut(check(cut(pairs.select(F.least("lead", "id").alias("a"), F.greatest("lead", "id").alias("b")).distinct())))
-        found = links if found is None else cut(found.unionByName(links))
-        led = lead if led is None else cut(led.unionByName(lead))
-        if found.isEmpty():
-            label = members.withColumn("label", F.col("id"))
-        else:
-            label = members.join(components(found), "id", "left").select("key", "id", F.coalesce("group", "id").alias("label"))
-        sizes = label.groupBy("key", "label").agg(F.count("*").alias("c"))
-        most = sizes.groupBy("key").agg(F.max_by("label", F.struct("c", "label")).alias("most"))
-        rest = label.join(most, "key").filter("label <> most").select("key", "id")
-        opened = cut(rest.join(led.select("key", F.col("lead").alias("id")), ["key", "id"], "left_anti"))
-        turn += 1
-    return found
+        links = _large_buckets(large, pairs, links, most, check)
+    uncut(shared, buckets)
+    linked = cut(components(links))
+    sizes = sk.groupBy("node").agg(F.min("id").alias("head"), F.count("*").alias("copies"))
+    nodes = sizes.join(linked.withColumnRenamed("id", "node"), "node", "left").filter("copies > 1 or group is not null")
+    nodes = cut(nodes.select("node", "head", F.coalesce("group", "node").alias("class")))
+    names = nodes.groupBy("class").agg(F.min("head").alias("group"))
+    return sk.select("id", "node").join(nodes.join(names, "class").select("node", "group"), "node").select("id", "group")
+
+
+def _large_buckets(large: DataFrame, tested: DataFrame, links: DataFrame, most: int, check) -> DataFrame:
+    """Links (those given and more) that connect what the pairs within large buckets connect.
+
+    Buckets of the same members count once. Each round verifies new nearest pairs of two groups; it ends when every pair of two groups
+    that the estimate leaves has been verified."""
+    same = large.groupBy("key").agg(F.count("*").alias("c"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("s"), F.min("node").alias("x"), F.max("node").alias("y"))
+    members = cut(large.join(same.groupBy("c", "s", "x", "y").agg(F.min("key").alias("key")).select("key"), "key", "left_semi"))
+    nearest = NEAREST
+    while True:
+        groups = cut(components(links))
+        label = members.join(groups.withColumnRenamed("id", "node"), "node", "left").select("key", "node", "bits", F.coalesce("group", "node").alias("label"))
+        found = cut(_near_blocks(label, most, nearest))
+        fresh = cut(found.select("a", "b").distinct().join(tested, ["a", "b"], "left_anti"))
+        more = not found.filter("more").isEmpty()
+        uncut(groups, found)
+        if not fresh.isEmpty():
+            links = cut(links.unionByName(check(fresh)))
+            tested = cut(tested.unionByName(fresh))
+        elif not more:
+            return links
+        nearest *= MORE
 
 
 def pairs_of_groups(groups: DataFrame) -> DataFrame:

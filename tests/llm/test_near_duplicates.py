@@ -57,18 +57,61 @@ def test_empty_table(spark):
 
 
 def test_registers_estimate_similarity():
-    a = N.shingles(" ".join(WORDS[:300]), 3, 40)
-    b = N.shingles(" ".join(WORDS[60:360]), 3, 40)
-    true = len(set(a) & set(b)) / len(set(a) | set(b))
-    assert abs(N.estimate(N.registers(a), N.registers(b), len(a), len(b)) - true) < 0.12
-    c = N.shingles(" ".join(reversed(WORDS)), 3, 40)
-    assert N.estimate(N.registers(a), N.registers(c), len(a), len(c)) < 0.03
-
-
-def test_bits_allow_five_standard_errors(spark):
-    def words(ones):
-        return [sum(1 << k for k in range(max(0, min(60, ones - 60 * n)))) for n in range(8)]
-
-    rows = [(key, key * 10 + i, *words(i * ones)) for key, ones in ((1, 139), (2, 147), (3, 148)) for i in (0, 1)]
-    members = spark.createDataFrame(rows, "key long, id long, " + ", ".join(f"b{k} long" for k in range(8)))
-    assert {tuple(r) for r in N._small_buckets(members, 0.6).collect()} == {(10, 11), (20, 21)}
+    r = random.Random(7)
+    for common in (0.0, 0.5, 0.75, 1.0):
+        both = [r.getrandbits(64) for _ in range(int(300 * common))]
+        x, y = (N.np.array(both + [r.getrandbits(64) for _ in range(300 - len(both))], N.np.uint64) for _ in range(2))
+        true = len(both) / (600 - len(both))
+        a, b = N.registers(N.np.unique(x)), N.registers(N.np.unique(y))
+        assert abs((a == b).mean() - true) < 0.1
+        bits = [N._words([N.register_bits(v)]) for v in (a, b)]
+        assert abs(N.estimate(int(N._differing(*bits)[0, 0])) - true) < 0.2
+
+
+def test_registers_of_blocks_are_those_of_the_whole():
+    x = N.np.array([random.Random(3).getrandbits(64) for _ in range(1)] + [random.Random(k).getrandbits(64) for k in range(5000)], N.np.uint64)
+    assert (N.registers(x, 100) == N.registers(x, 10**6)).all()
+    assert N.registers(x[:1]).shape == (N.BANDS * N.ROWS,)
+
+
+def test_recall_at_the_threshold():
+    """Pairs at similarity 0.6 share a band and pass the estimate."""
+    r, most, missed = N.np.random.default_rng(11), N.most_differing(0.6), 0
+    for _ in range(1500):
+        u = r.integers(0, 2**64, 75, N.np.uint64)
+        a, b = N.registers(u[:60]), N.registers(N.np.concatenate([u[:45], u[60:]]))
+        band = (N.band_keys(a) == N.band_keys(b)).all(axis=1).any()
+        bits = N._differing(N._words([N.register_bits(a)]), N._words([N.register_bits(b)]))[0, 0]
+        missed += not (band and bits <= most)
+    assert missed <= 1
+
+
+def test_bits_allow_five_standard_errors():
+    assert N.most_differing(0.6) == 147
+    assert N.estimate(N.BITS / 2) == 0 and N.estimate(0) == 1
+
+
+def test_large_bucket_of_unlike_pages(spark):
+    """10,000 members without similar partners and some copies with edits, all in one bucket: blocks, no pairs of all."""
+    r = N.np.random.default_rng(2)
+    bits = N.np.packbits(r.integers(0, 2, (10_000, N.BITS), N.np.uint8), axis=1)
+    near = N.np.repeat(bits[:3], 40, axis=0)
+    rows = [(1, k, bytes(v)) for k, v in enumerate(N.np.concatenate([bits, near]))]
+    members = spark.createDataFrame(rows, "key long, node long, bits binary").repartition(4)
+    asked = []
+
+    def check(p):
+        asked.append(p.count())
+        return N.cut(p)
+
+    none = spark.createDataFrame([], "a long, b long")
+    got = {r["id"]: r["group"] for r in N.components(N._large_buckets(members, none, none, N.most_differing(0.6), check)).collect()}
+    assert got == {k: k for k in range(3)} | {10_000 + k: k // 40 for k in range(120)}
+    assert sum(asked) <= 123 * N.NEAREST * 2  # two blocks
+
+
+def test_bitmap(spark):
+    values = [random.Random(k).getrandbits(64) - 2**63 for k in range(500)]
+    bits = N.bitmap(spark.createDataFrame([(v,) for v in values], "h long"))
+    assert N.in_bitmap(bits, N.np.array(values)).all()
+    assert N.in_bitmap(bits, N.np.array([random.Random(-k).getrandbits(64) - 2**63 for k in range(1000, 2000)])).mean() < 0.01
