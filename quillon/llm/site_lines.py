@@ -1,10 +1,11 @@
 """Lines repeated excessively within one source's pages.
 
 A line is known by the letters of its visible text, lower-cased. Its page count within the source is set
-against its page count outside by a log-likelihood ratio (G2, one-sided), and the Benjamini-Hochberg
-procedure picks the lines in significant excess. Sources that repeat the line themselves are no part of
-the outside: a legal notice shared by many sites is boilerplate on each. An exact floor of pages and of
-the share of the source's pages follows.
+against its uses outside by a log-likelihood ratio (G2, one-sided): each other source that holds the line uses it
+once, however often it repeats it, so a notice that many sources repeat is in excess on each of them, while a
+phrase that many sources use now and then is not. All lines on two pages or more of their source are tested, and the
+Benjamini-Hochberg procedure picks those in significant excess. An exact floor of pages and of the share of the
+source's pages follows.
 
 Scale: a page gives one row for each of its lines; rows are counted map-side before the shuffle on
 (source, line), so a source or a line that holds a third of all rows is spread. The p-values are cut at a
@@ -12,7 +13,7 @@ threshold found from a histogram of G2 of fixed size; nothing that grows reaches
 
 Defined results: a null content has no lines; rows without a page or a source id are left out; repeated
 deliveries of a page count once; empty lines and lines without letters are never excess; where no page
-lies outside (one source, or all repeat the line), the floors alone decide.
+lies outside (one source), nothing can be compared, and every line is in excess that the floors allow.
 """
 
 from __future__ import annotations
@@ -84,25 +85,23 @@ def fdr_threshold(bins: list[tuple[int, int]], q: float) -> float:
     return best
 
 
-def excess_lines(lines: DataFrame, sizes: DataFrame, min_pages: int = 4, min_share: float = 0.05, q: float = 0.2) -> DataFrame:
-    """(source, key, pages, share, g2) of the lines in excess. sizes: (source, n), the pages of each source."""
+def tested_lines(lines: DataFrame, sizes: DataFrame) -> DataFrame:
+    """(source, key, a, n, g2) of the lines on at least two pages of their source. sizes: (source, n), the pages of each source."""
     sizes = sizes.select("source", F.col("n").cast("double").alias("n"))
     total = sizes.agg(F.coalesce(F.sum("n"), F.lit(0.0)).alias("all_pages"))
     counts = lines.groupBy("source", "key").agg(F.sum(F.col("first").cast("int")).cast("double").alias("a"))
-    counts = counts.join(if_small(sizes), "source")
-    repeats = F.col("a") >= F.greatest(F.lit(2.0), F.lit(min_share / 2) * F.col("n"))
-    by_key = counts.groupBy("key").agg(F.sum("a").alias("t"), F.sum(F.when(repeats, F.col("a")).otherwise(0.0)).alias("ra"), F.sum(F.when(repeats, F.col("n")).otherwise(0.0)).alias("rn"), F.max("a").alias("most"))
-    tests = (
-        counts.filter(F.col("a") >= min_pages).join(by_key.filter(F.col("most") >= min_pages), "key").join(F.broadcast(total), F.lit(True))
-        .withColumn("b", F.col("t") - F.col("ra") - F.when(repeats, 0.0).otherwise(F.col("a")))
-        .withColumn("m", F.col("all_pages") - F.col("rn") - F.when(repeats, 0.0).otherwise(F.col("n")))
-        .withColumn("g2", _g2(F.col("a"), F.col("n"), F.col("b"), F.col("m")))
-        .select("source", "key", "a", "n", "g2")
-    )
-    tests = cut(tests)
+    uses = counts.groupBy("key").agg(F.count("*").cast("double").alias("sources"), F.max("a").alias("most")).filter("most >= 2")
+    tests = counts.filter("a >= 2").join(if_small(sizes), "source").join(uses, "key").join(F.broadcast(total), F.lit(True))
+    return tests.select("source", "key", "a", "n", _g2(F.col("a"), F.col("n"), F.col("sources") - 1, F.col("all_pages") - F.col("n")).alias("g2"))
+
+
+def excess_lines(lines: DataFrame, sizes: DataFrame, min_pages: int = 4, min_share: float = 0.05, q: float = 0.05) -> DataFrame:
+    """(source, key, pages, share, g2) of the lines in significant excess at the false discovery rate ``q`` and above the floors."""
+    tests = cut(tested_lines(lines, sizes))
     bins = tests.groupBy(F.least(F.floor(F.col("g2") * STEP), F.lit(TOP * STEP)).cast("int").alias("k")).count()
     least = fdr_threshold([tuple(r) for r in bins.collect()], q)  # at most TOP * STEP + 1 rows
-    return tests.filter((F.col("g2") >= F.lit(least)) & (F.col("a") >= min_share * F.col("n"))).select("source", "key", F.col("a").cast("long").alias("pages"), (F.col("a") / F.col("n")).alias("share"), "g2")
+    excess = tests.filter(F.col("g2") >= F.lit(least))
+    return excess.filter((F.col("a") >= min_pages) & (F.col("a") >= min_share * F.col("n"))).select("source", "key", F.col("a").cast("long").alias("pages"), (F.col("a") / F.col("n")).alias("share"), "g2")
 
 
 def repeated_lines(pages: DataFrame, source: str = "site_id", page: str = "page_id", content: str = "content", **how) -> DataFrame:
@@ -114,7 +113,13 @@ def repeated_lines(pages: DataFrame, source: str = "site_id", page: str = "page_
 
 
 def without_lines(pages: DataFrame, drop: DataFrame, page: str = "page_id", content: str = "content") -> DataFrame:
-    """(page, content) with the lines (page, line_no) left out and the rest put together in order."""
-    gone = drop.groupBy("page").agg(F.collect_set("line_no").alias("_drop"))
-    rest = F.array_join(F.filter(F.split(F.col(content), "\n", -1), lambda x, i: ~F.array_contains("_drop", i)), "\n")
-    return pages.join(gone, F.col(page) == F.col("page"), "left").select(F.col(page), F.when(F.col("_drop").isNull(), F.col(content)).otherwise(rest).alias(content))
+    """(page, content) with the lines (page, line_no) left out: an anti-join, and the rest put together by position.
+
+    A page whose lines all go has an empty content, a null content stays null. One row for each page id; rows without one are left out."""
+    rows = pages.filter(F.col(page).isNotNull()).select(F.col(page).alias("_p"), F.col(content).alias("_c"))
+    lines = rows.select("_p", F.posexplode(F.split("_c", "\n", -1)).alias("_n", "_line"))
+    kept = lines.join(drop.select(F.col("page").alias("_p"), F.col("line_no").alias("_n")).distinct(), ["_p", "_n"], "left_anti")
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_n", "_line"))), lambda x: x["_line"]), "\n")
+    ends = rows.select("_p", F.when(F.col("_c").isNotNull(), F.lit(-1)).alias("_n"), F.lit(None).cast("string").alias("_line"))  # keeps pages without lines
+    whole = kept.unionByName(ends).groupBy("_p").agg(F.max("_n").isNotNull().alias("_some"), text.alias("_text"))
+    return whole.select(F.col("_p").alias(page), F.when(F.col("_some"), F.col("_text")).alias(content))

@@ -26,6 +26,23 @@ def test_repeated_lines(spark):
     assert site_lines.repeated_lines(spark.createDataFrame([], PAGE)).collect() == []
 
 
+def test_a_common_phrase_is_no_excess_but_a_shared_notice_is(spark):
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    own = iter(f"own {a}{b}{c}" for a in letters for b in letters for c in letters)
+    rows = [(k, 0, f"{next(own)}\n{'Read more' if k < 4 else next(own)}\n{'Terms apply' if k < 30 else next(own)}") for k in range(60)]
+    for s in range(1, 200):  # small sources: each says "Read more" on one page of ten, and every third has the notice on all pages
+        rows += [(1000 + 10 * s + k, s, f"{next(own)}\n{'Read more' if not k else next(own)}\n{'Terms apply' if s % 3 == 0 else next(own)}") for k in range(10)]
+    df = spark.createDataFrame(rows, PAGE)
+    found = {(r["page"], r["line_no"]) for r in site_lines.repeated_lines(df).collect()}
+    assert found == {(k, 2) for k in range(30)} | {(1000 + 10 * s + k, 2) for s in range(3, 200, 3) for k in range(10)}
+
+
+def test_lines_left_out(spark):
+    pages = spark.createDataFrame([(1, "a\nb\n\nc\n", "x"), (2, None, "x"), (3, "", "x"), (4, "only", "x"), (5, "as it is", "x"), (None, "a", "x")], "page_id long, content string, line_no string")
+    drop = spark.createDataFrame([(1, 1), (1, 1), (4, 0), (9, 0)], "page long, line_no int")
+    assert {tuple(r) for r in site_lines.without_lines(pages, drop).collect()} == {(1, "a\n\nc\n"), (2, None), (3, ""), (4, ""), (5, "as it is")}
+
+
 def test_term_counts_equal_dictionary(spark):
     r = random.Random(2)
     words = [" Abc", "abc", "ABC ", "ét", "ét", "", None, "  ", "żółw", "zz"] + [f"t{k}" for k in range(50)]
