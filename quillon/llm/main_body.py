@@ -265,7 +265,7 @@ def main_body(pages: DataFrame, sites: DataFrame, model: Model, page: str = "pag
     """(page, line_no) of the lines of each page's main body."""
     rows = _with_brand(pages, sites, page, site, content)
     sc = pages.sparkSession.sparkContext
-    weights, shared = sc.broadcast(train(rows, sample_pages).weights), sc.broadcast(model.counts)
+    weights, shared = sc.broadcast(train(rows, sample_pages).weights), sc.broadcast(model.shared())
 
     def run(batches):
         m, c = worker_model(shared), Classifier(weights.value)

@@ -1,15 +1,18 @@
 """Text garbled by a wrong character encoding: found by a noisy-channel model and restored where possible.
 
-A channel is a pair (true encoding, wrong decoding), or two in a row. Every word that holds a character
-beyond ASCII is a node of a lattice: under each channel its characters turn back into bytes, those bytes
-into a candidate; bytes that were lost (U+FFFD, or a byte no decoding has) stay as wildcards, which the most
-frequent fitting word of the corpus fills. Viterbi search over a line picks one channel for each word, with a
-cost for changing channels, under the word frequencies of the whole corpus (unknown words fall back to
-letter pairs of the same counts).
-
-Scale: the word counts are one aggregation, combined in each worker before the shuffle. The model that the
-workers get holds the ``VOCABULARY`` most frequent words: its size is bounded by that parameter, whatever
-the corpus; counts cover all pages. Finding and restoring is one pass without a shuffle.
+A channel is a pair (true encoding, wrong decoding), or two in a row. Under each channel the characters of a
+word that is not plain ASCII turn back into a row of bytes, with a wildcard for each byte that was lost (U+FFFD). Over that
+row stands a lattice: an arc leads from one byte position to another for every letter that the bytes between them can be, for
+all letters of the corpus that fit where a byte is a wildcard or missing. Viterbi search over the byte positions, with a beam, finds the
+letters of least cost under letter pairs and word frequencies. A second Viterbi search over the words of a line picks one
+channel for each word, with a cost for changing channels, under the word frequencies of the whole corpus (unknown
+words fall back to letter pairs of the same counts).
+
+Scale: the word counts are one aggregation over all pages, combined in each worker before the shuffle. The workers get the
+``VOCABULARY`` most frequent words by themselves and the counts of all others in a table of ``CELLS`` cells, in which a
+word has two places and the smaller number counts: so no word is left out, whatever the corpus, and with W words
+beyond the first a word that does not occur passes for one that does with a probability of about (2W / CELLS)^2. Finding and restoring is
+one pass without a shuffle.
 
 Defined results: null and empty texts are no case; U+FFFD is always a case, restored only where a word
 fits; foreign letters, symbols and capitals that the corpus knows as they are stay as they are.
@@ -19,16 +22,23 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter, defaultdict
+from collections import Counter
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: The most frequent words that make the model.
-VOCABULARY = 60_000
+from quillon.sources.tables import cut, uncut
+
+#: The most frequent words, which the workers hold by themselves, and the cells that hold the counts of all others.
+VOCABULARY, CELLS = 60_000, 2**22
+#: Hypotheses of the search at one byte position; what a missing byte costs.
+BEAM, MISSING = 48, 2.0
+WILD = -1
 PIECE = re.compile(r"[^\W\d_]+|[^\x00-\x7f]")
 COUNTED = re.compile(r"[A-Za-z]*[^\W\d_\x00-\x7f][^\W\d_]*|[^\x00-\x7f]")
 CHUNK = re.compile(r"[A-Za-z]*[^\x00-\x7f](?:[A-Za-z]|[^\x00-\x7f])*")
@@ -72,36 +82,15 @@ def _byte_of(codec: str) -> dict[str, int]:
     return out
 
 
-def _undo_one(text: str, true: str, wrong: str) -> str | None:
-    """The text under one channel undone; U+FFFD where bytes are lost; None where it can't have come this way."""
-    table = _byte_of(wrong)
-    raw, lost = bytearray(), 0
+def byte_row(text: str, wrong: str) -> list[int] | None:
+    """The bytes of a text that was read in the wrong decoding, ``WILD`` for lost ones; None where it can't have come this way."""
+    table, out = _byte_of(wrong), []
     for c in text:
-        if c < "\x80":
-            raw.append(ord(c))
-        elif c == LOST:
-            raw.append(0xFF)
-            lost += 1
-        elif c in table:
-            raw.append(table[c])
-        else:
-            return None
-    if lost:
-        if true != "utf-8":
+        b = ord(c) if c < "\x80" else WILD if c == LOST else table.get(c)
+        if b is None:
             return None
-        out = _letters(raw)
-        bad = out.count(LOST)
-        good = sum(c > "\x7f" for c in out) - bad
-        return out if good > bad and good >= 2 else None
-    try:
-        return raw.decode(true)
-    except UnicodeDecodeError:
-        if true != "utf-8":
-            return None
-    out = raw.decode("utf-8", "replace")
-    bad = out.count(LOST)
-    good = sum(c > "\x7f" for c in out) - bad
-    return out if bad <= 2 and good >= 2 * bad and good >= 2 else None
+        out.append(b)
+    return out
 
 
 def _letters(raw: bytes) -> str:
@@ -109,20 +98,93 @@ def _letters(raw: bytes) -> str:
     return "".join(m[0].decode("utf-8", "replace") if m[1] else LOST for m in LETTER.finditer(raw))
 
 
-def _undo(text: str, channel) -> str | None:
-    for true, wrong in channel:
-        text = _undo_one(text, true, wrong)
-        if text is None:
-            return None
-    return text
+def _raw(row: list[int]) -> bytes:
+    return bytes(0xFF if b == WILD else b for b in row)
+
+
+def _damaged(row: list[int], true: str) -> str | None:
+    """The text of a row of bytes with U+FFFD for damaged letters; None where too little of it is whole."""
+    if WILD not in row:
+        try:
+            return bytes(row).decode(true)
+        except UnicodeDecodeError:
+            pass
+    if true != "utf-8":
+        return None
+    out = _letters(_raw(row))
+    whole = sum(c > "\x7f" for c in out) - out.count(LOST)
+    return out if whole and 2 * row.count(WILD) < len(row) else None
+
+
+class Alphabet:
+    """The letters of a corpus beyond ASCII, by their bytes in UTF-8."""
+
+    def __init__(self, letters):
+        self.letters = "".join(sorted(letters))
+        self.bytes = [(c, c.encode("utf-8", "surrogatepass")) for c in self.letters]
+        self.known: dict[tuple, str] = {}
+
+    def fitting(self, row: tuple, size: int | None = None) -> str:
+        """The letters whose bytes begin with the row (wildcards fit all), of so many bytes if a size is given."""
+        key = (row, size)
+        if key not in self.known:
+            self.known[key] = "".join(c for c, b in self.bytes if len(b) >= len(row) and size in (None, len(b)) and all(x in (WILD, y) for x, y in zip(row, b)))
+        return self.known[key]
+
+    def ending(self, byte: int) -> str:
+        """The letters whose last byte it is."""
+        key = (byte, 0)
+        if key not in self.known:
+            self.known[key] = "".join(c for c, b in self.bytes if b[-1] == byte)
+        return self.known[key]
+
+
+def utf8_arcs(row: list[int], alphabet: Alphabet) -> list[list[tuple[int, str, float, bool]]]:
+    """The lattice of a row of bytes: for each position the arcs (next position, letters that fit, cost, whether a byte is lost)."""
+    out = []
+    for i, b in enumerate(row):
+        arcs: list[tuple[int, str, float, bool]] = []
+        if 0 <= b < 0x80:
+            arcs.append((i + 1, chr(b), 0.0, False))
+        else:
+            for size in (2, 3, 4):
+                part = tuple(row[i : i + size])
+                if len(part) < size or any(0 <= x < 0x80 or x > 0xBF for x in part[1:]) or 0x80 <= b <= 0xBF:
+                    continue
+                if WILD in part:
+                    if fit := alphabet.fitting(part, size):
+                        arcs.append((i + size, fit, 0.0, True))
+                else:
+                    try:
+                        arcs = [(i + size, bytes(part).decode("utf-8"), 0.0, False)]
+                        break
+                    except UnicodeDecodeError:
+                        pass
+            if not any(cost == 0 and not lost for _, _, cost, lost in arcs):
+                if 0x80 <= b <= 0xBF:  # the bytes before it are missing
+                    arcs.append((i + 1, alphabet.ending(b), MISSING, True))
+                else:
+                    for size in (1, 2, 3):  # bytes behind these are missing
+                        part = tuple(row[i : i + size])
+                        if len(part) == size and all(x == WILD or 0x80 <= x <= 0xBF for x in part[1:]) and part.count(WILD) < size:
+                            arcs.append((i + size, "".join(c for c in alphabet.fitting(part) if len(c.encode("utf-8", "surrogatepass")) > size), MISSING, True))
+                    if b == WILD:
+                        arcs.append((i + 1, alphabet.letters, 2 * MISSING, True))
+        out.append([(j, fit, cost, lost) for j, fit, cost, lost in arcs if fit])
+    return out
+
+
+def letter_arcs(text: str, alphabet: Alphabet) -> list[list[tuple[int, str, float, bool]]]:
+    """The lattice of a text that is right but for lost letters."""
+    return [[(i + 1, alphabet.letters if c == LOST else c, 0.0, c == LOST)] for i, c in enumerate(text)]
 
 
 class Model:
     """Word frequencies of a corpus with letter pairs for the words it lacks. Words of two scripts are no words."""
 
-    def __init__(self, counts: dict[str, int]):
+    def __init__(self, counts: dict[str, int], tail: tuple[np.ndarray, np.ndarray] | None = None):
         counts = {w: n for w, n in counts.items() if w.isascii() or not MIXED.search(w)}
-        self.counts = counts
+        self.counts, self.tail = counts, tail
         self.total = float(sum(counts.values()) or 1)
         pairs: Counter = Counter()
         first: Counter = Counter()
@@ -134,20 +196,41 @@ class Model:
                 first[a] += n
         self.pair = {k: math.log((n + 0.01) / (first[k[0]] + 3)) for k, n in pairs.items()}
         self.unseen = {a: math.log(0.01 / (n + 3)) for a, n in first.items()}
-        self.by_length: dict[int, list[str]] | None = None
+        self.prefixes: set[str] | None = None
+        self.follow: dict[str, dict[str, float]] = {}
+        self.paths: dict[tuple, str | None] = {}
         self.memo: dict[str, tuple] = {}
         self.clean: set[str] = set()
 
+    def shared(self) -> tuple:
+        """What the workers need to build the model again."""
+        return self.counts, self.tail
+
+    def count(self, w: str) -> int:
+        """How often the corpus has a word."""
+        n = self.counts.get(w)
+        return n if n is not None else self._beyond(w) if self.tail is not None else 0
+
+    def _beyond(self, w: str) -> int:
+        cells, n = self.tail
+        own = cells_of(w)
+        at = np.searchsorted(cells, own)
+        return min(int(n[k]) if k < len(cells) and cells[k] == c else 0 for k, c in zip(at, own))
+
     def purged(self) -> Model:
         """A model without the words that are themselves garbled: those that a channel explains much better."""
-        bad = {w for w, n in self.counts.items() if not w.isascii() and (o := self.options(w))[1:] and max(s for _, s, _ in o[1:]) > o[0][1] + 4 * len(CHUNK.findall(w))}
-        return Model({w: n for w, n in self.counts.items() if w not in bad})
+        bad = {w for w in self.counts if self.explained(w)}
+        return Model({w: n for w, n in self.counts.items() if w not in bad}, self.tail)
+
+    def explained(self, w: str) -> bool:
+        """Whether a channel explains a word much better than it is."""
+        return not w.isascii() and bool((o := self.options(w))[1:]) and max(s for _, s, _ in o[1:]) > o[0][1] + 4 * len(CHUNK.findall(w))
 
     def word(self, w: str) -> float:
         """The log-probability of a piece; words of ASCII are alike under every channel."""
         if w.isascii():
             return -9.0
-        n = self.counts.get(w, 0)
+        n = self.count(w)
         if n < 3:
             f = self.fold.get(w.lower(), 0)
             if f >= 3 and (w.isupper() or w.islower() or w.istitle()):
@@ -160,24 +243,88 @@ class Model:
         """The log-probability of a chunk's pieces."""
         return sum(self.word(p) for p in PIECE.findall(text))
 
+    @property
+    def alphabet(self) -> Alphabet:
+        if self.prefixes is None:
+            words = [w for w, n in self.counts.items() if n >= 3 and w.isalpha()]
+            self.prefixes = {w[:k] for w in words for k in range(1, len(w) + 1)}
+            self._alphabet = Alphabet({c for w in words for c in w if c > "\x7f"})
+            for (x, y), p in self.pair.items():
+                self.follow.setdefault(x, {})[y] = p
+        return self._alphabet
+
+    def best_path(self, arcs: list[list[tuple[int, str, float, bool]]]) -> str | None:
+        """The likeliest text of a lattice, by Viterbi search with a beam: of equal last letters of a word's beginning the better one
+        goes on. Lost letters are filled only within words of the corpus, and stay U+FFFD elsewhere; None where no path leads through."""
+        self.alphabet  # noqa: B018  makes the prefixes
+        # hypotheses (cost so far of whole words, cost of the open word by letter pairs, open word, the same with lost letters, text before it)
+        at: list[dict[str, tuple]] = [{} for _ in range(len(arcs) + 1)]
+        at[0][""] = (0.0, 0.0, "", "", "")
+
+        def closed(h: tuple) -> tuple[float, str]:
+            done, _, word, seen, before = h
+            if not word:
+                return done, before
+            if LOST in seen and not self.known(word):
+                return done - 3.0 * seen.count(LOST) + self.word(seen.replace(LOST, "")) - 5.0, before + seen
+            return done + self.word(word), before + word
+
+        for i, own in enumerate(arcs):
+            best = at[i].values() if len(at[i]) == 1 else sorted(at[i].values(), key=lambda h: h[0] + h[1] + (6.0 if h[2] in self.prefixes else 0.0), reverse=True)[:BEAM]
+            for h in best:
+                done, open_, word, seen, before = h
+                follow = self.follow.get(word[-1] if word else "^", {})
+                for j, letters, cost, lost in own:
+                    ahead = at[j]
+                    # a lost letter is one that the corpus knows behind the letter before it
+                    for c in ([c for c in letters if c in follow] if lost else letters):
+                        if c.isalpha():
+                            new = (done - cost, open_ + follow.get(c, -12.0), word + c, seen + (LOST if lost else c), before)
+                        else:
+                            total, text = closed(h)
+                            new = (total - cost + (-3.0 if lost else self.word(c)), 0.0, "", "", text + (LOST if lost else c))
+                        old = ahead.get(new[2])
+                        if old is None or new[0] + new[1] > old[0] + old[1]:
+                            ahead[new[2]] = new
+            at[i] = {}
+        if not at[-1]:
+            return None
+        return max((closed(h) for h in at[-1].values()), key=lambda x: x[0])[1]
+
+    def undo(self, text: str, channel) -> str | None:
+        """The text under a channel undone; U+FFFD where letters are lost for good; None where it can't have come this way."""
+        for k, (true, wrong) in enumerate(channel):
+            row = byte_row(text, wrong)
+            if row is None:
+                return None
+            text = _damaged(row, true)
+            if text is None:
+                return None
+            if LOST in text and k == len(channel) - 1:
+                whole = sum(c > "\x7f" for c in text) - text.count(LOST)
+                few = whole > text.count(LOST) and whole >= 2
+                at = tuple(row)
+                if at not in self.paths:
+                    if len(self.paths) > 300_000:
+                        self.paths.clear()
+                    self.paths[at] = self.best_path(utf8_arcs(row, self.alphabet))
+                text = self.paths[at] or text
+                if LOST in text and not few:
+                    return None  # too little is left to tell
+        return text
+
     def fill(self, text: str) -> str:
-        """Wildcards filled by the corpus's most frequent words of that shape; they stay where none fits."""
-        if self.by_length is None:
-            self.by_length = defaultdict(list)
-            for w in sorted(self.counts, key=lambda w: (-self.counts[w], w)):
-                if self.counts[w] >= 3 and w.isalpha():
-                    self.by_length[len(w)].append(w)
+        """Lost letters of words that are right otherwise, filled where a word of the corpus fits; more than half of a word must be there."""
 
         def best(m: re.Match) -> str:
             if LOST not in m[0] or len(m[0]) <= 2 * m[0].count(LOST):
                 return m[0]
-            shape = re.compile("".join("[^\\x00-\\x7f]" if c == LOST else re.escape(c) for c in m[0]))
-            return next((w for w in self.by_length[len(m[0])] if shape.fullmatch(w)), m[0])
+            return self.best_path(letter_arcs(m[0], self.alphabet)) or m[0]
 
         return re.sub(rf"(?:[^\W\d_]|{LOST})+", best, text)
 
     def known(self, w: str) -> bool:
-        return w.isascii() or self.counts.get(w, 0) >= 3 or self.fold.get(w.lower(), 0) >= 3
+        return w.isascii() or self.count(w) >= 3 or self.fold.get(w.lower(), 0) >= 3
 
     def options(self, chunk: str) -> tuple:
         """((channel, score, text), ...) of a chunk, the unchanged one first.
@@ -191,18 +338,16 @@ class Model:
             got = [(-1, self.score(chunk), chunk)]
             for k in FLIPS if PLAIN.fullmatch(chunk) else range(len(CHANNELS)):
                 ch = CHANNELS[k]
-                t = _undo(chunk, ch)
+                t = self.undo(chunk, ch)
                 if t is None or t == chunk:
                     continue
-                if LOST in t:
-                    t = self.fill(t)
                 own = self.score(t) - 3.0 * t.count(LOST) - 1.0
                 if ch[0][0] == "utf-8":
                     own += 2.5 * (len(chunk) - len(t)) - 15.0 * len(STRANGE.findall(t))
                 else:
                     parts = PIECE.findall(t)
                     own -= sum((4.0 if p.isascii() else 0.0 if self.known(p) else 8.0) if p[0].isalpha() else 1.5 for p in parts)
-                    if any(c < "\x80" for c in chunk) and not self.counts.get(t, 0) >= 3:
+                    if any(c < "\x80" for c in chunk) and self.count(t) < 3:
                         continue  # a word of ASCII letters with others among them must come out as a word
                 got.append((k, own, t))
             got = self.memo[chunk] = tuple(got)
@@ -213,7 +358,7 @@ class Model:
         if len(self.clean) > 300_000:
             self.clean.clear()
         pieces = PIECE.findall(chunk)
-        if all(p in PUNCTUATION or (len(p) > 1 or len(pieces) == 1) and p[0].isalpha() and (p.isascii() or self.counts.get(p, 0) >= 3) for p in pieces):
+        if all(p in PUNCTUATION or (len(p) > 1 or len(pieces) == 1) and p[0].isalpha() and (p.isascii() or self.count(p) >= 3) for p in pieces):
             return True
         o = self.options(chunk)
         return all(s <= o[0][1] for _, s, _ in o[1:])
@@ -300,15 +445,37 @@ def word_counts(texts: DataFrame, text: str) -> DataFrame:
     return rows.mapInArrow(count, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
 
 
+def cells_of(word: str) -> tuple[int, int]:
+    """The two cells of a word."""
+    h, half = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass")), CELLS // 2
+    return h % half, half + (h >> 32) % half
+
+
 def build_model(texts: DataFrame, text: str = "content", vocabulary: int = VOCABULARY) -> Model:
-    """The model of a corpus: its most frequent words, counted over all texts."""
-    top = word_counts(texts, text).filter("n >= 2").orderBy(F.desc("n"), "word").limit(vocabulary)
-    return Model({r[0]: r[1] for r in top.collect()}).purged()  # at most ``vocabulary`` rows
+    """The model of a corpus, from the counts of all its words. Garbled words are left out of it."""
+    counts = cut(word_counts(texts, text).filter("n >= 2"))
+    top = [tuple(r) for r in counts.orderBy(F.desc("n"), "word").limit(vocabulary).collect()]  # at most ``vocabulary`` rows
+    model = Model(dict(top)).purged()
+    if len(top) == vocabulary:
+        last, n = top[-1]
+        shared = texts.sparkSession.sparkContext.broadcast(model.shared())
+
+        def cells(batches):
+            m = worker_model(shared)
+            for pdf in batches:
+                rows = [(c, n) for w, n in zip(pdf["word"], pdf["n"], strict=True) if not (MIXED.search(w) or m.explained(w)) for c in cells_of(w)]
+                yield pd.DataFrame(rows, columns=["cell", "n"])
+
+        rest = counts.filter((F.col("n") >= 3) & ((F.col("n") < n) | ((F.col("n") == n) & (F.col("word") > last))))
+        got = rest.mapInPandas(cells, "cell int, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).orderBy("cell").toArrow()  # at most CELLS rows
+        model = Model(model.counts, (got["cell"].to_numpy().astype(np.int64), np.minimum(got["n"].to_numpy(), 2**31 - 1).astype(np.int32)))
+    uncut(counts)
+    return model
 
 
 def restore_rows(rows: DataFrame, model: Model, key: str, text: str) -> DataFrame:
     """(key, garbled, text, restored) of every row with a text."""
-    shared = rows.sparkSession.sparkContext.broadcast(model.counts)
+    shared = rows.sparkSession.sparkContext.broadcast(model.shared())
     src = rows.select(F.col(key).alias("key"), F.col(text).alias("text")).filter("text is not null")
 
     def run(batches):
@@ -324,10 +491,10 @@ _MODELS: list[tuple[object, Model]] = []
 
 
 def worker_model(shared) -> Model:
-    """The model of a broadcast word table, built once in each Python worker."""
-    counts = shared.value
-    if not _MODELS or _MODELS[0][0] is not counts:
-        _MODELS[:] = [(counts, Model(counts))]
+    """The model of a broadcast, built once in each Python worker."""
+    tables = shared.value
+    if not _MODELS or _MODELS[0][0] is not tables:
+        _MODELS[:] = [(tables, Model(*tables))]
     return _MODELS[0][1]
 
 

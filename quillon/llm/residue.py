@@ -189,7 +189,7 @@ def find_residue(pages: DataFrame, model: Model, page: str = "page_id", content:
     """(page, share, in_text) of the pages to exclude: residue covers at least the share of the text, or stands in running text.
 
     Text garbled by a wrong encoding is restored by the model first."""
-    shared = pages.sparkSession.sparkContext.broadcast(model.counts)
+    shared = pages.sparkSession.sparkContext.broadcast(model.shared())
     rows = pages.select(F.col(page).alias("page"), F.col(content).alias("content")).filter("content is not null and content <> ''")
 
     def judge(batches):

@@ -59,6 +59,39 @@ def test_term_counts_equal_dictionary(spark):
     assert term_counts.term_frequencies(df.limit(0), "lemma", "site_id", "frequency").collect() == []
 
 
+@pytest.mark.parametrize("seed", range(8))
+def test_many_lost_bytes(seed):
+    """Five of sixteen bytes are lost, whole letters among them; the right word is the only one that fits."""
+    m = repair.Model({w: 500 for w in "старый принтер хранит хлеб новая задача возле моста кастрюля сканер касса".split()})
+    bad = list("кастрюля".encode().decode("latin-1"))
+    for k in random.Random(seed).sample(range(16), 5):
+        bad[k] = "\ufffd"
+    assert m.restore("".join(bad)) == (True, "кастрюля")
+
+
+def test_lattice_equals_all_readings():
+    """The best path is the best of all ways to fill the lost bytes."""
+    m = repair.Model({w: n for w, n in (("кот", 90), ("ком", 40), ("год", 60), ("рот", 50), ("гол", 20), ("café", 30))})
+    for word in ("кот", "ком", "год", "рот", "гол", "café"):
+        raw = word.encode()
+        for k in range(len(raw)):
+            if raw[k] < 0x80:
+                continue
+            row = [*raw[:k], repair.WILD, *raw[k + 1 :]]
+            every = [w for b in range(0x80, 0x100) if (w := bytes([*raw[:k], b, *raw[k + 1 :]]).decode("utf-8", "ignore")) in m.counts]
+            assert m.best_path(repair.utf8_arcs(row, m.alphabet)) == max(every, key=m.word)
+
+
+def test_words_beyond_the_first_count(spark):
+    """With room for few words in the model, the rest are known from the table of cells; garbled ones are not."""
+    common = ["задача", "принтер", "кастрюля", "хлеб"]
+    rare = [f"слов{a}{b}" for a in "аеиоуы" for b in "бвгдж"]
+    text = " ".join(common * 50 + rare * 5 + ["Р·Р°РґР°С‡Р°"] * 4)
+    m = repair.build_model(spark.createDataFrame([(text,), (None,)], "content string"), vocabulary=4)
+    assert set(m.counts) == set(common) and all(m.count(w) == 5 for w in rare) and not m.count("нет") and not m.count("Р·Р°РґР°С‡Р°")
+    assert m.restore("словаб".encode().decode("cp1251")) == (True, "словаб")
+
+
 def _model():
     words = "старый принтер хранит хлеб новая задача возле моста кастрюля".split() + ["café", "Größe", "—", "“", "”", "«", "»"]
     return repair.Model({w: 500 for w in words} | {w.capitalize(): 50 for w in words})
