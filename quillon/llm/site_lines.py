@@ -90,8 +90,9 @@ def tested_lines(lines: DataFrame, sizes: DataFrame) -> DataFrame:
     sizes = sizes.select("source", F.col("n").cast("double").alias("n"))
     total = sizes.agg(F.coalesce(F.sum("n"), F.lit(0.0)).alias("all_pages"))
     counts = lines.groupBy("source", "key").agg(F.sum(F.col("first").cast("int")).cast("double").alias("a"))
+    counts = counts.join(if_small(sizes), "source")  # before the two uses of the counts, so that they share one shuffle
     uses = counts.groupBy("key").agg(F.count("*").cast("double").alias("sources"), F.max("a").alias("most")).filter("most >= 2")
-    tests = counts.filter("a >= 2").join(if_small(sizes), "source").join(uses, "key").join(F.broadcast(total), F.lit(True))
+    tests = counts.filter("a >= 2").join(uses, "key").join(F.broadcast(total), F.lit(True))
     return tests.select("source", "key", "a", "n", _g2(F.col("a"), F.col("n"), F.col("sources") - 1, F.col("all_pages") - F.col("n")).alias("g2"))
 
 
