@@ -261,7 +261,7 @@ def train(rows: DataFrame, sample_pages: int = SAMPLE_PAGES) -> Classifier:
     return Classifier.fit(out)
 
 
-def main_body(pages: DataFrame, sites: DataFrame, model: Model, page: str = "page_id", site: str = "site_id", content: str = "content", sample_pages: int = SAMPLE_PAGES, residue: float = 0.08) -> DataFrame:
+def main_body(pages: DataFrame, sites: DataFrame, model: Model, page: str = "page_id", site: str = "site_id", content: str = "content", sample_pages: int = SAMPLE_PAGES, residue: float = 0.03) -> DataFrame:
     """(page, line_no) of the lines of each page's main body."""
     rows = _with_brand(pages, sites, page, site, content)
     sc = pages.sparkSession.sparkContext

@@ -129,9 +129,34 @@ def test_lost_bytes_inside_letters_are_filled(text):
 ])
 def test_residue(content, found):
     share, inside = residue.residue_share(content)
-    assert (share >= 0.08 or inside) == found
+    assert (share >= 0.03 or inside) == found
 
 
+# messages of usual servers and frameworks, none of them taken from the tables; the phrases were composed without them
+HELD_OUT = (
+    "HTTP Error 503. The service is unavailable.", "For full functionality of this site it is necessary to enable JavaScript.", "This site doesn't work properly without JavaScript enabled", "Необходимо включить JavaScript", "Página no encontrada", "The requested URL was not found on this server.",
+    "You don't have permission to access this resource.", "Oops! That page can’t be found.", "404 Not Found: The resource requested could not be found on this server!", "Error establishing a database connection", "Sorry, the page you are looking for could not be found.", "Whoops, looks like something went wrong.",
+    "Запрошенная страница не найдена", "Сайт временно недоступен. Ведутся технические работы.", "Die angeforderte Seite wurde nicht gefunden", "Cette page n’existe plus", "La pagina richiesta non esiste", "A página que você procura não foi encontrada", "Strona nie została znaleziona", "Pagina niet gevonden", "Сторінку не знайдено",
+    "Please turn JavaScript on and reload the page.", "503 Service Temporarily Unavailable", "502 Bad Gateway", "Access Denied. You are not authorized to view this page.", "Sayfa bulunamadı", "Acceso denegado", "Lorem ipsum dolor sit amet, consectetur adipiscing elit.", "Coming soon", "Your session has expired. Please log in again.",
+)
+
+
+def test_held_out_messages():
+    lines = ["The old bridge over the river was repaired in spring and carries trams again."] * 4
+    missed = [m for m in HELD_OUT if residue.residue_share("\n".join([*lines, m]))[0] < 0.03]
+    assert len(missed) <= 0.2 * len(HELD_OUT), missed
+    alone = [m for m in HELD_OUT if residue.residue_share(m)[0] < 0.5]
+    assert len(alone) <= 0.2 * len(HELD_OUT), alone
+
+
+def test_one_long_line_and_chrome():
+    message = "Error 503. The service is unavailable. Please try again later. " * 8
+    assert residue.residue_share(message)[0] == residue.residue_share(message.replace(". ", ".\n"))[0] == 1.0
+    text = "The old bridge over the river was repaired. " * 40 + "Page not found. " + "Trams cross it again every day. " * 40
+    assert 0 < residue.residue_share(text)[0] < 0.01
+    assert residue.residue_share("<p>A long text about a bridge and a river</p><noscript>Please enable JavaScript</noscript>")[0] == 0
+    assert residue.residue_share("<noscript>Please enable JavaScript</noscript>")[0] == 1
+
 def test_min_cut_equals_brute_force():
     r = random.Random(5)
     for _ in range(60):
