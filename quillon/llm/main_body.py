@@ -1,13 +1,14 @@
 """The main body of each page, by minimum-cut labelling of its lines.
 
 Every line with visible text is a node. Its capacities to the two terminals are the costs of a classifier of the
-line's words and shape, with the meaning of its markup where a page's markup says what it is. Neighbouring
-lines and lines of equal markup (the same class or id) are joined by smoothness edges. The minimum cut
-separates body from boilerplate; it is found by max-flow over the nodes that their own capacities don't decide.
-
-The classifier is trained on the spot, on lines whose label the markup of other pages gives (navigation,
-aside, footer and such against headings, paragraphs and lists), without any feature of the markup: so it
-holds for pages of tables, of arbitrary class names and of plain text. The sample is that of the pages with
+line's words and shape, and on pages built of nav, aside or footer elements what HTML says its element is for. Smoothness edges join
+neighbouring lines, and lines of equal markup (element with class or id) wherever they stand; they are the weaker, the farther
+the lines are from each other in the DOM. The minimum cut separates body from boilerplate: nodes that their own capacities
+decide and nodes with at most two edges are folded into their neighbours exactly, max-flow labels what is left.
+
+The classifier is trained on the spot, on lines whose element HTML itself defines as content or as something else
+(nav, aside, footer and such against headings, paragraphs and lists) or whose class has a usual name for either, without any feature of the markup: so it
+holds for pages of tables, of arbitrary class names and of plain text. No class name has a part in the costs. The sample is that of the pages with
 the smallest hashes, at most ``SAMPLE_PAGES``; everything else covers all pages.
 
 Scale: one pass over the pages, no shuffle of contents. Text garbled by a wrong encoding is restored first. Pages of
@@ -19,7 +20,7 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter, deque
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -32,12 +33,21 @@ from quillon.llm.visible import bare, shown
 from quillon.sources.tables import cut, if_small
 
 SAMPLE_PAGES = 2_500
-NEAR, ALIKE, MARKUP = 0.35, 0.9, 6.0
-
-# Tags, roles and class names that say what a block is.
-BODY = frozenset("h1 h2 h3 h4 h5 h6 p li blockquote tr td article main figure figcaption pre dl dt dd caption text point pull title headline content body-text quote list entry".split())
-CHROME = frozenset("nav aside footer header small address section noscript dialog form menu path consent warn author social sidebar promo intro notice letter bottom cloud breadcrumbs cookie share related tags advert legal subscribe byline teaser newsletter banner".split())
-TRUSTED = re.compile(r"<(?:nav|aside|footer)\b|class=\"(?:menu|bottom|caption|sidebar|notice|text)\"")
+NEAR, ALIKE, MARKUP = 0.35, 0.9, 3.0
+
+# Elements and roles that HTML defines as content, and as something beside it.
+BODY = frozenset("h1 h2 h3 h4 h5 h6 p li blockquote tr td th article main figure figcaption caption pre dl dt dd".split())
+CHROME = frozenset("nav aside footer header address small noscript dialog form menu navigation contentinfo banner complementary search".split())
+TELLING = re.compile(r"<(?:nav|aside|footer)\b")
+# Usual class names of either kind. They label lines to train on and have no part in a page's costs.
+NAMED_BODY = frozenset("article body content entry text post story main title headline heading caption paragraph quote pull list point item".split())
+NAMED_CHROME = frozenset(
+    "nav menu navigation breadcrumb breadcrumbs crumbs path cookie cookies consent gdpr warn warning notice banner ad ads advert advertisement sponsor sponsored promo teaser related sidebar author byline meta "
+    "share social subscribe newsletter letter intro about tag tags cloud footer bottom legal copyright disclaimer widget popup modal comments login search".split()
+)
+NAMED = re.compile(r"class=\"(?:nav|menu|navigation|sidebar|footer|bottom|content|text|article)\"")
+LABELLED = re.compile(f"{TELLING.pattern}|{NAMED.pattern}")
+VOID = re.compile(r"<(?:br|hr|img|input|meta|link|wbr|col|source)\b|<!|/>", re.I)
 FIRST = re.compile(r"<([a-zA-Z][a-zA-Z0-9]*)\b([^<>]*)>")
 ATTR = re.compile(r"\b(class|id|role)=\"([^\"]*)\"")
 LINK = re.compile(r"<a\b[^<>]*>(.*?)</a\s*>", re.S | re.I)
@@ -51,14 +61,29 @@ LEAD, TAIL, LINKS = [f"lead{k}" for k in range(4)], [f"tail{k}" for k in range(3
 
 
 def markup(raw: str) -> tuple[str, str]:
-    """(mark, signature) of a line: the name that may say what it is, and what lines of equal markup share."""
+    """(mark, signature) of a line: the element or role that HTML gives a meaning, and what lines of equal markup share."""
     m = FIRST.search(raw)
     if not m:
         return "", ""
-    tag, attrs = m[1].lower(), dict((k, v) for k, v in ATTR.findall(m[2]))
-    mark = attrs.get("class", "").split(" ")[0].lower() or attrs.get("role", "").lower() or tag
+    tag, attrs = m[1].lower(), dict(ATTR.findall(m[2])) if m[2] else {}
     sign = f"{tag}.{attrs['class']}" if attrs.get("class") else f"{tag}#{attrs['id']}" if attrs.get("id") else tag if tag not in ("p", "tr", "td", "div", "span", "a", "table") else ""
-    return mark, sign
+    return attrs.get("role", "").lower() or tag, sign
+
+
+def depths(raws: list[str]) -> list[tuple[int, int]]:
+    """(depth, least depth since the line before) of each line in the DOM: how many elements are open that began on earlier lines."""
+    out, depth = [], 0
+    for raw in raws:
+        opened, closed = raw.count("<"), raw.count("</")
+        low = depth
+        if opened != 2 * closed:
+            change = opened - 2 * closed - len(VOID.findall(raw))
+            # a line that closes more than it opens stands in what it leaves
+            out.append((depth, low))
+            depth = max(0, depth + change)
+        else:
+            out.append((depth, low))
+    return [(d, min(d, out[k - 1][0] if k else 0)) for k, (d, _) in enumerate(out)]
 
 
 def page_nodes(content: str, brand: str | None, plain: str | None = None, text: str | None = None) -> list[tuple[int, str, str, list[str], list[str]]]:
@@ -159,13 +184,23 @@ class Classifier:
 
 def weak_labels(content: str, brand: str | None) -> list[tuple[list[str], list[str], bool]]:
     """Labelled lines of a page whose markup says what its blocks are; none of other pages."""
-    if not TRUSTED.search(content):
+    if not LABELLED.search(content):
         return []
-    return [(flags, words, mark in BODY) for _, mark, _, flags, words in page_nodes(content, brand) if mark in BODY or mark in CHROME]
+    out = []
+    for _, mark, sign, flags, words in page_nodes(content, brand):
+        name = sign.partition(".")[2].split(" ")[0].lower()
+        body, chrome = (name in NAMED_BODY, name in NAMED_CHROME) if name else (mark in BODY, mark in CHROME)
+        if body or chrome:
+            out.append((flags, words, body))
+    return out
 
 
 def min_cut(costs: list[float], edges: list[tuple[int, int, float]]) -> list[bool]:
-    """The labels (True: source side) of least cost. costs: what label False costs more than True, for each node."""
+    """The labels (True: source side) of least cost. costs: what label False costs more than True, for each node.
+
+    A node whose own capacity exceeds all its edges is decided. A node with one or two edges is folded: the least it costs,
+    as a function of its neighbours' labels, is again a capacity for each and an edge between them. Both are exact and
+    linear in time, and leave what is densely linked for max-flow."""
     n = len(costs)
     weight = [0.0] * n
     for a, b, c in edges:
@@ -178,68 +213,136 @@ def min_cut(costs: list[float], edges: list[tuple[int, int, float]]) -> list[boo
         if a != b and c > 0:
             near[a][b] = near[a].get(b, 0.0) + c
             near[b][a] = near[b].get(a, 0.0) + c
-    costs, label = list(costs), [None] * n
-    queue = list(range(n))
-    while queue:  # a node whose own capacity exceeds all its edges is decided, and decides what its edges add to others
-        a = queue.pop()
-        if label[a] is None and abs(costs[a]) >= sum(near[a].values()):
-            label[a] = costs[a] >= 0
-            for b, c in near[a].items():
-                costs[b] += c if label[a] else -c
-                del near[b][a]
+    costs, label, folded = list(costs), [None] * n, []
+    gone, queue = [False] * n, list(range(n))
+    while queue:
+        v = queue.pop()
+        if gone[v]:
+            continue
+        own = near[v]
+        if abs(costs[v]) >= sum(own.values()):
+            gone[v], label[v] = True, costs[v] >= 0
+            for b, c in own.items():
+                costs[b] += c if label[v] else -c
+                del near[b][v]
                 queue.append(b)
-            near[a] = {}
-    rest = [a for a in range(n) if label[a] is None]
+            near[v] = {}
+        elif len(own) <= 2:
+            gone[v] = True
+            (a, w), (b, x) = (*own.items(), (None, 0.0))[:2]
+            folded.append((v, costs[v], a, w, b, x))
+            c = costs[v]
+            both, first, second, none = min(0.0, c + w + x), min(x, c + w), min(w, c + x), min(c, w + x)  # by the neighbours with label True
+            link = max(0.0, (first + second - both - none) / 2)
+            costs[a] += second - both - link
+            del near[a][v]
+            queue.append(a)
+            if b is not None:
+                costs[b] += first - both - link
+                del near[b][v]
+                if link:
+                    near[a][b] = near[b][a] = near[a].get(b, 0.0) + link
+                queue.append(b)
+            near[v] = {}
+    rest = [v for v in range(n) if not gone[v]]
     if rest:
-        source, sink = n, n + 1
-        room: dict[int, dict[int, float]] = {a: dict(near[a]) for a in rest}
-        room[source], room[sink] = {}, {}
-        for a in rest:
-            if costs[a] > 0:
-                room[source][a], room[a][source] = costs[a], 0.0
-            else:
-                room[a][sink], room[sink][a] = -costs[a], 0.0
-        while True:  # shortest augmenting paths
-            back, todo = {source: source}, deque([source])
-            while todo and sink not in back:
-                a = todo.popleft()
-                for b, c in room[a].items():
-                    if c > 1e-12 and b not in back:
-                        back[b] = a
-                        todo.append(b)
-            if sink not in back:
-                break
-            b, flow = sink, math.inf
-            while b != source:
-                flow = min(flow, room[back[b]][b])
-                b = back[b]
-            b = sink
-            while b != source:
-                a = back[b]
-                room[a][b] -= flow
-                room[b][a] = room[b].get(a, 0.0) + flow
-                b = a
-        for a in rest:
-            label[a] = a in back
+        for v, side in zip(rest, max_flow_sides([costs[v] for v in rest], [near[v] for v in rest], {v: k for k, v in enumerate(rest)}), strict=True):
+            label[v] = side
+    for v, c, a, w, b, x in reversed(folded):
+        true = (0.0 if label[a] else w) + (0.0 if b is None or label[b] else x)
+        false = c + (w if label[a] else 0.0) + (x if b is not None and label[b] else 0.0)
+        label[v] = true <= false
     return label
 
 
+def max_flow_sides(costs: list[float], near: list[dict[int, float]], at: dict[int, int]) -> list[bool]:
+    """For each node whether it lies on the source's side of the minimum cut. Blocking flows along shortest paths."""
+    n = len(costs)
+    head, room, out = [], [], [[] for _ in range(n)]
+    for k, own in enumerate(near):
+        for v, c in own.items():
+            j = at[v]
+            if k < j:
+                out[k].append(len(head))
+                out[j].append(len(head) + 1)
+                head += [j, k]
+                room += [c, c]
+    give, take = [max(c, 0.0) for c in costs], [max(-c, 0.0) for c in costs]
+    tiny = 1e-12
+    while True:
+        level, todo = [-1] * n, [k for k in range(n) if give[k] > tiny]
+        for k in todo:
+            level[k] = 0
+        ends = False
+        for k in todo:  # grows while it is read
+            if take[k] > tiny:
+                ends = True
+            for e in out[k]:
+                if room[e] > tiny and level[head[e]] < 0:
+                    level[head[e]] = level[k] + 1
+                    todo.append(head[e])
+        if not ends:
+            return [x >= 0 for x in level]
+        turn = [0] * n
+        for start in range(n):
+            while give[start] > tiny and level[start] == 0:
+                path, k = [], start
+                while take[k] <= tiny:
+                    while turn[k] < len(out[k]):
+                        e = out[k][turn[k]]
+                        if room[e] > tiny and level[head[e]] == level[k] + 1:
+                            break
+                        turn[k] += 1
+                    if turn[k] < len(out[k]):
+                        path.append(out[k][turn[k]])
+                        k = head[path[-1]]
+                    elif path:  # a dead end
+                        e = path.pop()
+                        k = head[e ^ 1]
+                        turn[k] += 1
+                    else:
+                        k = -1
+                        break
+                if k < 0:
+                    break
+                flow = min([give[start], take[k], *(room[e] for e in path)])
+                give[start] -= flow
+                take[k] -= flow
+                for e in path:
+                    room[e] -= flow
+                    room[e ^ 1] += flow
+            if level[start] == 0 and give[start] > tiny and turn[start] >= len(out[start]):
+                continue
+
+
 def body_lines(content: str, brand: str | None, classifier: Classifier, plain: str | None = None, text: str | None = None) -> list[int]:
     """The numbers of the lines of the main body."""
+    plain = bare(content) if plain is None else plain
     nodes = page_nodes(content, brand, plain, text)
-    trusted = bool(TRUSTED.search(content))
-    costs, edges, last = [], [], {}
-    for k, (_, mark, sign, flags, words) in enumerate(nodes):
+    telling = bool(TELLING.search(content))
+    place = depths(plain.split("\n")) if "<" in plain else None
+    costs, edges, last, low, seen = [], [], {}, {}, 0
+    for k, (line, mark, sign, flags, words) in enumerate(nodes):
         c = max(-9.0, min(9.0, classifier.score(flags, words)))
-        if trusted:
+        if telling:
             c += MARKUP if mark in BODY else -MARKUP if mark in CHROME else 0.0
         costs.append(c)
+        between = depth = 0
+        if place:  # the least depth since the node before, for all lines that wait for their like
+            depth = place[line][0]
+            between = min(place[i][1] for i in range(seen, line + 1))
+            for s, d in low.items():
+                if between < d:
+                    low[s] = between
         if k:
-            edges.append((k - 1, k, NEAR))
+            apart = depth + (place[nodes[k - 1][0]][0] if place else 0) - 2 * between
+            edges.append((k - 1, k, NEAR / (1 + max(apart, 0))))
         if sign:
             if sign in last:
-                edges.append((last[sign], k, ALIKE))
-            last[sign] = k
+                apart = depth + place[nodes[last[sign]][0]][0] - 2 * low[sign] if place else 0
+                edges.append((last[sign], k, ALIKE / (1 + max(apart, 0))))
+            last[sign], low[sign] = k, depth
+        seen = line + 1
     return [node[0] for node, body in zip(nodes, min_cut(costs, edges), strict=True) if body]
 
 
@@ -253,7 +356,7 @@ def _with_brand(pages: DataFrame, sites: DataFrame, page: str, site: str, conten
 
 def train(rows: DataFrame, sample_pages: int = SAMPLE_PAGES) -> Classifier:
     """A classifier from rows (page, content, brand): of at most ``sample_pages`` pages, those of the smallest hashes."""
-    ids = rows.filter(F.col("content").rlike(TRUSTED.pattern)).select(F.col("page").alias("_p")).orderBy(F.xxhash64("_p"), "_p").limit(sample_pages)
+    ids = rows.filter(F.col("content").rlike(LABELLED.pattern)).select(F.col("page").alias("_p")).orderBy(F.xxhash64("_p"), "_p").limit(sample_pages)
     sample = rows.join(F.broadcast(cut(ids)), F.col("page") == F.col("_p"), "left_semi")  # at most sample_pages ids
     out = []
     for r in sample.toLocalIterator():  # at most sample_pages rows
