@@ -56,8 +56,10 @@ WORD = re.compile(r"[^\W_]+")
 DATE = re.compile(r"\d{1,2}\.\d{1,2}\.\d{4}|\d{4}-\d\d-\d\d")
 NUMBER = re.compile(r"\d+")
 MARKS = frozenset("|©·›:«»“”„€₽$%?—-@_")
+BULLETS = frozenset("-–—•*·")
 SIZE = [f"n{n if n < 8 else 8 + min(n // 6, 6)}" for n in range(50)]
 LEAD, TAIL, LINKS = [f"lead{k}" for k in range(4)], [f"tail{k}" for k in range(3)], [f"links{k}" for k in range(4)]
+OF_MARKUP = frozenset(["link1", "link2", *LINKS, "cells"])
 
 
 def markup(raw: str) -> tuple[str, str]:
@@ -106,10 +108,12 @@ def page_nodes(content: str, brand: str | None, plain: str | None = None, text:
             low = ["BRAND" if x == brand else x for x in low]
         raw = raws[i]
         n, z = len(low), t[-1]
+        start = t[2:] if t[0] in BULLETS and t[1:2] == " " and len(t) > 2 else t
+        case = "caseA" if n and t.isupper() else "casea" if start[0].islower() else "caseT"
+        place = ("atb1" if k < begin else "ate1" if k > end else "atm1") if long else "atb0"
         flags = [
             "*", SIZE[n] if n < 50 else "n14", "end" + (z if not z.isalnum() else "a" if z.isalpha() else "0"),
-            "caseA" if n and t.isupper() else "casea" if t[0].islower() else "caseT",
-            (("atb1" if k < begin else "ate1" if k > end else "atm1") if long else "atb0"), LEAD[k] if k < 4 else "lead4", TAIL[total - 1 - k] if total - 1 - k < 3 else "tail3",
+            case, place, case + place, case + ("0" if z.isdigit() else "a"), LEAD[k] if k < 4 else "lead4", TAIL[total - 1 - k] if total - 1 - k < 3 else "tail3",
         ]
         if "<a " in raw:
             linked = sum(map(len, LINK.findall(raw)))
@@ -123,7 +127,7 @@ def page_nodes(content: str, brand: str | None, plain: str | None = None, text:
                 flags.append("endnum")
         if named:
             flags += ["brand", "brandfirst" if low[0] == "BRAND" else "brandin"]
-        flags += ["c" + c for c in MARKS.intersection(t)]
+        flags += ["c" + c for c in MARKS.intersection(start)]
         head = t.lower()
         if head == title or head in crumbs or (title and t.rstrip("»>! .…)[]0123456789").lower() == title):
             flags.append("heading")
@@ -192,6 +196,9 @@ def weak_labels(content: str, brand: str | None) -> list[tuple[list[str], list[s
         body, chrome = (name in NAMED_BODY, name in NAMED_CHROME) if name else (mark in BODY, mark in CHROME)
         if body or chrome:
             out.append((flags, words, body))
+            bare_flags = [f for f in flags if f not in OF_MARKUP]
+            if len(bare_flags) < len(flags):  # the same line as a page without markup has it
+                out.append(([*bare_flags, "link0"], words, body))
     return out
 
 
