@@ -32,7 +32,7 @@ from quillon.llm.residue import residue_of
 from quillon.llm.visible import bare, shown
 from quillon.sources.tables import cut, if_small
 
-SAMPLE_PAGES = 2_500
+SAMPLE_PAGES = 1_500
 NEAR, ALIKE, MARKUP = 0.35, 0.9, 3.0
 
 # Elements and roles that HTML defines as content, and as something beside it.
@@ -55,7 +55,7 @@ TITLE = re.compile(r"<title[^>]*>(.*?)</title>", re.S | re.I)
 WORD = re.compile(r"[^\W_]+")
 DATE = re.compile(r"\d{1,2}\.\d{1,2}\.\d{4}|\d{4}-\d\d-\d\d")
 NUMBER = re.compile(r"\d+")
-MARKS = frozenset("|©·›:«»“”„€₽$%?—-@_")
+MARKS = re.compile("[|©·›:«»“”„€₽$%?—@_-]")
 BULLETS = frozenset("-–—•*·")
 SIZE = [f"n{n if n < 8 else 8 + min(n // 6, 6)}" for n in range(50)]
 LEAD, TAIL, LINKS = [f"lead{k}" for k in range(4)], [f"tail{k}" for k in range(3)], [f"links{k}" for k in range(4)]
@@ -88,56 +88,61 @@ def depths(raws: list[str]) -> list[tuple[int, int]]:
     return [(d, min(d, out[k - 1][0] if k else 0)) for k, (d, _) in enumerate(out)]
 
 
-def page_nodes(content: str, brand: str | None, plain: str | None = None, text: str | None = None) -> list[tuple[int, str, str, list[str], list[str]]]:
-    """(line_no, mark, signature, flags, words) of the lines with visible text. plain, text: what ``bare`` and ``visible`` make of the content."""
+def line_traits(raw: str, t: str, brand: str) -> tuple[list[str], list[str], str, str, str]:
+    """(words, flags, mark, signature, case) of a line by itself."""
+    digit, low = NUMBER.search(t) is not None, t.lower()
+    low = WORD.findall(NUMBER.sub("0", low) if digit else low)
+    named = bool(brand) and brand in low
+    if named:
+        low = ["BRAND" if x == brand else x for x in low]
+    n, z = len(low), t[-1]
+    start = t[2:] if t[0] in BULLETS and t[1:2] == " " and len(t) > 2 else t
+    case = "caseA" if n and t.isupper() else "casea" if start[0].islower() else "caseT"
+    flags = ["*", SIZE[n] if n < 50 else "n14", "end" + (z if not z.isalnum() else "a" if z.isalpha() else "0"), case, case + ("0" if z.isdigit() else "a")]
+    if "<a " in raw:
+        linked = sum(map(len, LINK.findall(raw)))
+        flags += ["link1" if linked < 0.6 * len(t) else "link2", LINKS[min(raw.count("<a "), 3)]]
+    else:
+        flags.append("link0")
+    if digit:
+        if DATE.search(t):
+            flags.append("date")
+        if NUMBER.search(t[-12:]):
+            flags.append("endnum")
+    if named:
+        flags += ["brand", "brandfirst" if low[0] == "BRAND" else "brandin"]
+    flags += ["c" + c for c in set(MARKS.findall(start))]
+    if raw.count("<td") > 1:
+        flags.append("cells")
+    if low:
+        flags += ["f" + low[0], "ff" + " ".join(low[:2]), "l" + low[-1]]
+        if t[0].isupper() and ":" in t[: len(low[0]) + 24]:
+            flags.append("label")
+    return (low, flags, *markup(raw), case)
+
+
+def page_nodes(content: str, brand: str | None, plain: str | None = None, text: str | None = None) -> list[tuple]:
+    """(line_no, raw line, visible line, traits, flags of its place on the page) of the lines with visible text. plain, text: what
+    ``bare`` and ``visible`` make of the content."""
     plain = bare(content) if plain is None else plain
     text = shown(plain) if text is None else text
     title = TITLE.search(content) if "<title" in content else None
     title = " ".join(title[1].split()).rsplit(" — ", 1)[0].lower() if title else ""
-    raws = plain.split("\n")
+    raws, brand = plain.split("\n"), (brand or "").lower()
     lines = [(i, " ".join(w)) for i, t in enumerate(text.split("\n")) if (w := t.split())]
     crumbs = {t.rsplit("›", 1)[1].strip().lower() for _, t in lines if "›" in t}
-    words = [WORD.findall(NUMBER.sub("0", t.lower())) for _, t in lines]
-    long = [k for k, w in enumerate(words) if len(w) >= 18]
+    traits = [line_traits(raws[i], t, brand) for i, t in lines]
+    long = [k for k, x in enumerate(traits) if len(x[0]) >= 18]
     begin, end = (long[0], long[-1]) if long else (-1, -1)
-    brand, total = (brand or "").lower(), len(lines)
-    out = []
-    for k, ((i, t), low) in enumerate(zip(lines, words, strict=True)):
-        named = bool(brand) and brand in low
-        if named:
-            low = ["BRAND" if x == brand else x for x in low]
-        raw = raws[i]
-        n, z = len(low), t[-1]
-        start = t[2:] if t[0] in BULLETS and t[1:2] == " " and len(t) > 2 else t
-        case = "caseA" if n and t.isupper() else "casea" if start[0].islower() else "caseT"
+    out, total = [], len(lines)
+    for k, ((i, t), own) in enumerate(zip(lines, traits, strict=True)):
         place = ("atb1" if k < begin else "ate1" if k > end else "atm1") if long else "atb0"
-        flags = [
-            "*", SIZE[n] if n < 50 else "n14", "end" + (z if not z.isalnum() else "a" if z.isalpha() else "0"),
-            case, place, case + place, case + ("0" if z.isdigit() else "a"), LEAD[k] if k < 4 else "lead4", TAIL[total - 1 - k] if total - 1 - k < 3 else "tail3",
-        ]
-        if "<a " in raw:
-            linked = sum(map(len, LINK.findall(raw)))
-            flags += ["link1" if linked < 0.6 * len(t) else "link2", LINKS[min(raw.count("<a "), 3)]]
-        else:
-            flags.append("link0")
-        if any(map(str.isdigit, t)):
-            if DATE.search(t):
-                flags.append("date")
-            if NUMBER.search(t[-12:]):
-                flags.append("endnum")
-        if named:
-            flags += ["brand", "brandfirst" if low[0] == "BRAND" else "brandin"]
-        flags += ["c" + c for c in MARKS.intersection(start)]
-        head = t.lower()
-        if head == title or head in crumbs or (title and t.rstrip("»>! .…)[]0123456789").lower() == title):
-            flags.append("heading")
-        if raw.count("<td") > 1:
-            flags.append("cells")
-        if low:
-            flags += ["f" + low[0], "ff" + " ".join(low[:2]), "l" + low[-1]]
-            if t[0].isupper() and ":" in t[: len(low[0]) + 24]:
-                flags.append("label")
-        out.append((i, *markup(raw), flags, low))
+        placed = [place, own[4] + place, LEAD[k] if k < 4 else "lead4", TAIL[total - 1 - k] if total - 1 - k < 3 else "tail3"]
+        if crumbs or title:
+            head = t.lower()
+            if head == title or head in crumbs or (title and head.startswith(title) and t.rstrip("»>! .…)[]0123456789").lower() == title):
+                placed.append("heading")
+        out.append((i, raws[i], t, own, placed))
     return out
 
 
@@ -191,7 +196,8 @@ def weak_labels(content: str, brand: str | None) -> list[tuple[list[str], list[s
     if not LABELLED.search(content):
         return []
     out = []
-    for _, mark, sign, flags, words in page_nodes(content, brand):
+    for _, _, _, (words, own, mark, sign, _), placed in page_nodes(content, brand):
+        flags = [*own, *placed]
         name = sign.partition(".")[2].split(" ")[0].lower()
         body, chrome = (name in NAMED_BODY, name in NAMED_CHROME) if name else (mark in BODY, mark in CHROME)
         if body or chrome:
@@ -329,8 +335,8 @@ def body_lines(content: str, brand: str | None, classifier: Classifier, plain: s
     telling = bool(TELLING.search(content))
     place = depths(plain.split("\n")) if "<" in plain else None
     costs, edges, last, low, seen = [], [], {}, {}, 0
-    for k, (line, mark, sign, flags, words) in enumerate(nodes):
-        c = max(-9.0, min(9.0, classifier.score(flags, words)))
+    for k, (line, _, _, own, placed) in enumerate(nodes):
+        c, mark, sign = max(-9.0, min(9.0, classifier.score(own[1], own[0]) + sum(map(classifier.flag, placed)))), own[2], own[3]
         if telling:
             c += MARKUP if mark in BODY else -MARKUP if mark in CHROME else 0.0
         costs.append(c)

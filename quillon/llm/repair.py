@@ -42,6 +42,8 @@ WILD = -1
 PIECE = re.compile(r"[^\W\d_]+|[^\x00-\x7f]")
 COUNTED = re.compile(r"[A-Za-z]*[^\W\d_\x00-\x7f][^\W\d_]*|[^\x00-\x7f]")
 CHUNK = re.compile(r"[A-Za-z]*[^\x00-\x7f](?:[A-Za-z]|[^\x00-\x7f])*")
+#: What CHUNK finds are those of these runs that are not ASCII; to search for runs is linear in the text.
+RUN = re.compile(r"[A-Za-z\x80-\U0010ffff]+")
 TAG = re.compile(r"<[/!?]?[A-Za-z][^<>]*>")
 LOST = "�"
 #: A whole letter of UTF-8 (group 1), or what is left of one where bytes are lost (0xFF) or missing.
@@ -93,6 +95,20 @@ def byte_row(text: str, wrong: str) -> list[int] | None:
     return out
 
 
+@lru_cache(None)
+def _to_bytes(wrong: str) -> dict[int, str]:
+    """For ``str.translate``: each character of a decoding becomes that of its byte's number, characters it lacks none of those."""
+    return {b: "\uffff" for b in range(128, 256)} | {ord(c): chr(b) for c, b in _byte_of(wrong).items()}
+
+
+def whole_bytes(text: str, wrong: str) -> bytes | None:
+    """The same of a text without lost bytes."""
+    try:
+        return text.translate(_to_bytes(wrong)).encode("latin-1")
+    except UnicodeEncodeError:
+        return None
+
+
 def _letters(raw: bytes) -> str:
     """UTF-8 in which 0xFF stands for a lost byte; one U+FFFD for each damaged letter."""
     return "".join(m[0].decode("utf-8", "replace") if m[1] else LOST for m in LETTER.finditer(raw))
@@ -291,10 +307,25 @@ class Model:
             return None
         return max((closed(h) for h in at[-1].values()), key=lambda x: x[0])[1]
 
-    def undo(self, text: str, channel) -> str | None:
-        """The text under a channel undone; U+FFFD where letters are lost for good; None where it can't have come this way."""
+    def undo(self, text: str, channel, seen: dict) -> str | None:
+        """The text under a channel undone; U+FFFD where letters are lost for good; None where it can't have come this way.
+        seen: bytes by text and decoding, for the channels that share one."""
         for k, (true, wrong) in enumerate(channel):
-            row = byte_row(text, wrong)
+            if LOST in text:
+                row = byte_row(text, wrong)
+            else:
+                key = (text, wrong)
+                if key in seen:
+                    raw = seen[key]
+                else:
+                    raw = seen[key] = whole_bytes(text, wrong)
+                if raw is None:
+                    return None
+                try:
+                    text = raw.decode(true)
+                    continue
+                except UnicodeDecodeError:
+                    row = list(raw)
             if row is None:
                 return None
             text = _damaged(row, true)
@@ -335,10 +366,10 @@ class Model:
         if got is None:
             if len(self.memo) > 300_000:
                 self.memo.clear()
-            got = [(-1, self.score(chunk), chunk)]
+            got, seen = [(-1, self.score(chunk), chunk)], {}
             for k in FLIPS if PLAIN.fullmatch(chunk) else range(len(CHANNELS)):
                 ch = CHANNELS[k]
-                t = self.undo(chunk, ch)
+                t = self.undo(chunk, ch, seen)
                 if t is None or t == chunk:
                     continue
                 own = self.score(t) - 3.0 * t.count(LOST) - 1.0
@@ -398,7 +429,7 @@ class Model:
         if not text or text.isascii():
             return False, text
         found, out = LOST in text, []
-        chunks = set(CHUNK.findall(text))
+        chunks = {c for c in set(RUN.findall(text)) if not c.isascii()}
         bad = [c for c in chunks - self.clean if not self.is_clean(c) or self.clean.add(c)]
         if not bad:
             return found, text
@@ -431,16 +462,24 @@ def word_counts(texts: DataFrame, text: str) -> DataFrame:
     """(word, n) over all texts: words with a letter beyond ASCII, and characters beyond it that are no letters. Counted in each worker first."""
     rows = texts.select(F.col(text).alias("t")).filter("t is not null")
 
+    def counted(c: Counter) -> pa.RecordBatch:
+        words: Counter = Counter()
+        for run, n in c.items():
+            for w in COUNTED.findall(run):
+                words[w] += n
+        return pa.RecordBatch.from_arrays([pa.array(list(words)), pa.array(list(words.values()), pa.int64())], ["word", "n"])
+
     def count(batches):
         c: Counter = Counter()
         for b in batches:
             for t in b.column(0).to_pylist():
-                c.update(COUNTED.findall(t))
+                if not t.isascii():
+                    c.update(x for x in RUN.findall(t) if not x.isascii())
             if len(c) > 500_000:
-                yield pa.RecordBatch.from_arrays([pa.array(list(c)), pa.array(list(c.values()), pa.int64())], ["word", "n"])
+                yield counted(c)
                 c.clear()
         if c:
-            yield pa.RecordBatch.from_arrays([pa.array(list(c)), pa.array(list(c.values()), pa.int64())], ["word", "n"])
+            yield counted(c)
 
     return rows.mapInArrow(count, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
 
