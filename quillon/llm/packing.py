@@ -4,7 +4,8 @@ The histogram of item sizes (never more rows than the capacity) defines a config
 configuration is a multiset of sizes within the capacity, and the fewest copies of configurations that cover
 the histogram are sought. Multiplicative weights price the sizes, starting from their volume; a knapsack dynamic
 program finds the best configuration for the prices, round by round, until every size is covered. The fractional
-solution is rounded to whole copies that the histogram has items for; what remains is filled largest first, again as
+solution is rounded to whole copies that the histogram has items for, and the program is solved again for what is left, until a pass places less
+than ``LITTLE`` of the items; the last few are filled largest first, again as
 whole configurations with their multiplicity, so the plan's size depends on the capacity only. Where largest first
 alone needs fewer containers, its plan is taken. Items then take the plan's slots by their rank within their size.
 
@@ -28,6 +29,8 @@ from quillon.sources.tables import cut
 SALT_ROWS = 1_000_000
 #: The sizes that a round of the weights prices first.
 PRICED = 256
+#: The share of the items that a pass of the program must place for another one to follow.
+LITTLE = 0.005
 
 
 def price_configuration(value: np.ndarray, sizes: np.ndarray, capacity: int, most: np.ndarray) -> dict[int, int]:
@@ -61,7 +64,7 @@ def price_configuration(value: np.ndarray, sizes: np.ndarray, capacity: int, mos
     return out
 
 
-def fractional_solution(hist: dict[int, int], capacity: int, levels: float = 2.0, eta: float = 1.0) -> list[tuple[dict[int, int], float]]:
+def fractional_solution(hist: dict[int, int], capacity: int, levels: float = 1.0, eta: float = 1.0) -> list[tuple[dict[int, int], float]]:
     """(configuration, copies) that cover the histogram fractionally, by multiplicative weights.
 
     Rounds go on until every size is covered ``levels`` times, then all copies are divided by the least coverage. A
@@ -124,12 +127,23 @@ def whole_copies(hist: dict[int, int], solution: list[tuple[dict[int, int], floa
     return plan, left
 
 
-def make_plan(hist: dict[int, int], capacity: int, levels: float = 2.0) -> list[tuple[dict[int, int], int]]:
+def program_plan(hist: dict[int, int], capacity: int, levels: float = 1.0) -> tuple[list[tuple[dict[int, int], int]], dict[int, int]]:
+    """(whole copies of configurations by passes of the program, the items left over)."""
+    left, plan, total = dict(hist), [], sum(hist.values())
+    while left:
+        part, rest = whole_copies(left, fractional_solution(left, capacity, levels))
+        plan += part
+        placed = sum(left.values()) - sum(rest.values())
+        left = {s: n for s, n in rest.items() if n > 0}
+        if placed < LITTLE * total or not placed:
+            break
+    return plan, left
+
+
+def make_plan(hist: dict[int, int], capacity: int, levels: float = 1.0) -> list[tuple[dict[int, int], int]]:
     """(configuration, copies) that hold exactly the histogram's items."""
     hist = {s: n for s, n in hist.items() if n > 0 and 0 < s <= capacity}
-    if not hist:
-        return []
-    plan, left = whole_copies(hist, fractional_solution(hist, capacity, levels))
+    plan, left = program_plan(hist, capacity, levels)
     plan += largest_first(left, capacity)
     alone = largest_first(hist, capacity)
     return alone if sum(n for _, n in alone) < sum(n for _, n in plan) else plan
@@ -156,7 +170,7 @@ def pieces(sizes: DataFrame, capacity: int) -> DataFrame:
     return cut_.select("key", "piece", start.alias("start"), F.least(F.col("tokens") - start, F.lit(capacity)).cast("int").alias("size"))
 
 
-def pack(sizes: DataFrame, capacity: int, levels: float = 2.0) -> DataFrame:
+def pack(sizes: DataFrame, capacity: int, levels: float = 1.0) -> DataFrame:
     """(key, piece, start, size, container) of items (key, tokens)."""
     spark = sizes.sparkSession
     items = cut(pieces(sizes, capacity))
