@@ -3,11 +3,13 @@
 Each worker routes its terms down an access trie into small containers; a container that grows past
 ``BURST`` terms bursts into one container for each next letter, so the depth adapts to the data. A trie
 that holds ``HOLD`` counters is written out in term order and emptied, which bounds a worker's memory. The
-written subtrees meet again by ranges of terms, whose bounds are sampled from the data (prefixes shared by
-many terms are split further than rare ones), sorted, and merged in one pass with one open term.
+written subtrees meet again by ranges of terms and records, whose bounds are sampled from the data (prefixes shared by
+many terms are split further than rare ones), sorted, and merged in one pass with one open term. A term whose records fill several
+ranges comes out of each with its part, and the parts are added up.
 
-Scale: occurrences are combined before the only shuffle, so a term that makes up a third of the rows is a
-few counters for each worker; the merge holds one term at a time.
+Scale: occurrences are combined before the shuffle of the counters, so a term that makes up a third of the rows is a
+few counters for each worker; a term that stands in a third of all records is split among ranges. The merge holds one term at a
+time. The last sum moves one row for each term and range.
 
 Defined results: terms are in NFC, lower-cased, without outer white space; null and empty terms are none;
 rows whose count is null, zero or negative are left out; repeated rows add up; a null record id counts
@@ -123,7 +125,7 @@ def partial_counts(rows: DataFrame, term: str, record: str, count: str | None =
 def term_frequencies(rows: DataFrame, term: str, record: str, count: str | None = None, burst: int = BURST, hold: int = HOLD) -> DataFrame:
     """(term, occurrences, records) of every distinct term."""
     parts = cut(partial_counts(rows, term, record, count, burst, hold))
-    meeting = parts.repartitionByRange("term").sortWithinPartitions("term", "record")
+    meeting = parts.repartitionByRange("term", "record").sortWithinPartitions("term", "record")
 
     def merge(batches):
         now, last, occurrences, records = None, None, 0, 0
@@ -144,7 +146,8 @@ def term_frequencies(rows: DataFrame, term: str, record: str, count: str | None
         if now is not None:
             yield pa.RecordBatch.from_arrays([pa.array([now]), pa.array([occurrences], pa.int64()), pa.array([records], pa.int64())], ["term", "occurrences", "records"])
 
-    return meeting.mapInArrow(merge, "term string, occurrences bigint, records bigint")
+    split = meeting.mapInArrow(merge, "term string, occurrences bigint, records bigint")
+    return split.groupBy("term").agg(F.sum("occurrences").alias("occurrences"), F.sum("records").alias("records"))
 
 
 def marks(terms: DataFrame, common_from: Column, rare_to: int = 2) -> DataFrame:
