@@ -5,7 +5,7 @@ one row for each token position, joined with the merge table; a recursive query
 leftmost minimum-rank pair until no pair is left, and an ordered aggregation gives the ids. The worker
 remembers its words, so a word is encoded once in each worker.
 
-Scale: one pass over the texts, no shuffle; memory of words is bounded by ``REMEMBER``, and the words of one
+Scale: one pass over the texts, no shuffle; the memory of words and parts is bounded by ``REMEMBER`` bytes in all, and the words of one
 recursive query by ``BLOCK``; words over ``LONG`` bytes go one table at a time, with all leftmost
 occurrences of the minimum-rank pair contracted at once, which gives the same ids.
 
@@ -22,7 +22,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-REMEMBER, BLOCK, LONG = 1_000_000, 12_000, 48
+REMEMBER, BLOCK, LONG = 200_000_000, 12_000, 48
+#: What an entry takes besides its characters and ids.
+ENTRY = 300
 #: Fixed value: the pattern that splits text before merging.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
@@ -78,7 +80,8 @@ class Encoder:
         self.memory: dict[str, np.ndarray] = {}
         self.heads: dict[str, np.ndarray] = {}
         self.tails: dict[str, np.ndarray] = {}
-        self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "400MB"})
+        self.held = 0
+        self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "400MB", "temp_directory": ""})
         merges = pa.table({  # noqa: F841  read by DuckDB
             "l": pa.array([vocab[a] for a, _ in pairs], pa.int32()), "r": pa.array([vocab[b] for _, b in pairs], pa.int32()),
             "rank": pa.array(range(len(pairs)), pa.int32()), "id": pa.array([vocab[a + b] for a, b in pairs], pa.int32()),
@@ -113,10 +116,19 @@ class Encoder:
                 return ids
             self.db.execute("CREATE OR REPLACE TEMP TABLE a AS SELECT * FROM b")
 
+    def _keep(self, known: dict[str, np.ndarray], key: str, ids: np.ndarray) -> None:
+        known[key] = ids
+        self.held += ENTRY + 2 * len(key) + ids.nbytes
+
+    def _make_room(self) -> None:
+        """Forgets everything once the bytes held pass the limit."""
+        if self.held > REMEMBER:
+            for known in (self.memory, self.heads, self.tails):
+                known.clear()
+            self.held = 0
+
     def learn(self, words: set[str]) -> None:
         """Encodes the words that are new."""
-        if len(self.memory) > REMEMBER:
-            self.memory.clear()
         new = sorted(w for w in words if w not in self.memory)
         raw = [w.encode("utf-8", "surrogatepass") for w in new]
         for long, encode in ((False, self._fixpoint), (True, self._stepwise)):
@@ -124,10 +136,14 @@ class Encoder:
             for at in range(0, len(some), BLOCK):
                 part = some[at : at + BLOCK]
                 for k, ids in zip(part, encode([raw[k] for k in part]), strict=True):
-                    self.memory[new[k]] = ids
+                    self._keep(self.memory, new[k], ids)
 
     def words(self, texts: list[str | None]) -> list[list[str]]:
         """The words of each text, all of them known afterwards."""
+        self._make_room()
+        return self._words(texts)
+
+    def _words(self, texts: list[str | None]) -> list[list[str]]:
         out = [self.split(t) if t else [] for t in texts]
         self.learn(set().union(*out))
         return out
@@ -135,16 +151,14 @@ class Encoder:
     def _parts(self, texts: list[str | None]) -> list[list[np.ndarray]]:
         """The ids of each text, in parts. No word reaches over a single space between two other characters, so a
         text is cut there first; parts are remembered: those at a text's start, and those behind a space."""
-        if len(self.heads) > REMEMBER or len(self.tails) > REMEMBER:
-            self.heads.clear()
-            self.tails.clear()
+        self._make_room()
         cut = [GAP.split(t) if t else [] for t in texts]
         heads = {c[0] for c in cut if c}
         tails = set().union(*(c[1:] for c in cut))
         for parts, known, before in ((heads, self.heads, ""), (tails, self.tails, " ")):
             new = [x for x in parts if x not in known]
-            for part, ws in zip(new, self.words([before + x for x in new]), strict=True):
-                known[part] = np.concatenate([self.memory[w] for w in ws]) if len(ws) > 1 else self.memory[ws[0]]
+            for part, ws in zip(new, self._words([before + x for x in new]), strict=True):
+                self._keep(known, part, np.concatenate([self.memory[w] for w in ws]) if len(ws) > 1 else self.memory[ws[0]])
         head, tail = self.heads.__getitem__, self.tails.__getitem__
         return [[head(c[0]), *map(tail, c[1:])] if c else [] for c in cut]
 

@@ -195,6 +195,22 @@ def test_ids_equal_the_library(encoder):
     assert [list(x) for x in encoder.encode([None, *texts])] == [[], *(t.encode(x, add_special_tokens=False).ids for x in texts)]
 
 
+def test_memory_of_words_is_bounded(encoder, monkeypatch):
+    monkeypatch.setattr(tokens, "REMEMBER", 5_000)
+    e = tokens.Encoder(tokens.default_path())
+    for k in range(30):
+        text = f"word{k} one two three {'x' * k} слово{k} " * 3
+        assert list(e.encode([text])[0]) == list(encoder.encode([text])[0])
+        assert e.held < 5_000 + 15_000
+
+
+def test_a_term_in_all_records_is_split(spark):
+    rows = [(k, "hot", 1) for k in range(5000)] + [(k % 7, f"t{k % 50}", 1) for k in range(500)] + [(None, "hot", 3)]
+    df = spark.createDataFrame(rows, "site_id int, lemma string, frequency long").repartition(4)
+    got = {x[0]: (x[1], x[2]) for x in term_counts.term_frequencies(df, "lemma", "site_id", "frequency").collect()}
+    assert got["hot"] == (5003, 5000) and len(got) == 51 and got["t3"] == (10, 7)
+
+
 def test_packing(spark):
     r = random.Random(1)
     rows = [(k, r.choice([0, 1, 7, 30, 30, 30, 64, 99, 250])) for k in range(400)]
@@ -217,8 +233,8 @@ def test_configurations_carry_the_plan():
     solution = packing.fractional_solution(hist, capacity)
     for s, n in hist.items():
         assert sum(x * c.get(s, 0) for c, x in solution) >= n * (1 - 1e-9)
-    plan, left = packing.whole_copies(hist, solution)
-    assert sum(n * sum(c.values()) for c, n in plan) > 0.6 * sum(hist.values())
+    plan, left = packing.program_plan(hist, capacity)
+    assert sum(n * sum(c.values()) for c, n in plan) > 0.9 * sum(hist.values())
     full, used = packing.make_plan(hist, capacity), Counter()
     for c, n in full:
         assert sum(s * k for s, k in c.items()) <= capacity
