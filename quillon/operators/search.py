@@ -3,6 +3,10 @@
 A page's depth is the longest gap-free prefix of the query's lemmas (rarest first) that it holds. The
 number of pages at each depth decides where a site's narrowing stops, so the procedure needs no loop:
 windows over the postings of the query's few lemmas give it for all sites at once.
+
+Scale: the lemmas of one query reach the driver first, so that the postings are filtered by literals in the scan of the stored index,
+before anything is aggregated. The postings of those lemmas and the depths are written once and read
+by the steps that need them again.
 """
 
 from __future__ import annotations
@@ -13,7 +17,7 @@ from pyspark.sql import functions as F
 from quillon.functions import text as X
 from quillon.operators.access import searchable_sites
 from quillon.schemas import MSG_EMPTY_QUERY, MSG_NO_SITES, SearchRequest, SearchSettings
-from quillon.sources.tables import if_small
+from quillon.sources.tables import cut, if_small
 
 
 class RequestError(ValueError):
@@ -67,7 +71,8 @@ def candidates(index: DataFrame, ranked: DataFrame, settings: SearchSettings = S
     sum all lemmas, those after the stop included.
     """
     cap, late, common = settings.page_start_count_limit, settings.lemmas_count_for_page_limit, settings.page_count_limit
-    hits = index.join(ranked, ["site_id", "lemma"]).select("site_id", "page_id", "k", F.coalesce(F.col("rating").cast("double"), F.lit(0.0)).alias("rating"))
+    ranked = cut(ranked)
+    hits = cut(index.join(if_small(ranked), ["site_id", "lemma"]).select("site_id", "page_id", "k", F.coalesce(F.col("rating").cast("double"), F.lit(0.0)).alias("rating")))
     if mode == "strict_and":
         n = ranked.groupBy("site_id").agg(F.max("k").alias("n"))
         return hits.groupBy("site_id", "page_id").agg(F.count("*").alias("c"), F.sum("rating").alias("abs_rank")).join(n, "site_id").filter("c = n").select("site_id", "page_id", "abs_rank")
@@ -83,6 +88,7 @@ def candidates(index: DataFrame, ranked: DataFrame, settings: SearchSettings = S
         .agg(F.max(F.when(F.col("_rn") == F.col("k"), F.col("k")).otherwise(0)).alias("d"), F.sum("rating").alias("abs_rank"))
         .filter("d > 0")
     )
+    depth = cut(depth)
     at = depth.groupBy("site_id", "d").agg(F.count("*").alias("_c"))
     sizes = (
         ranked.join(at, "site_id", "left")
@@ -91,13 +97,13 @@ def candidates(index: DataFrame, ranked: DataFrame, settings: SearchSettings = S
         .withColumn("_prev", F.lag("s").over(Window.partitionBy("site_id").orderBy("k")))
     )
     stop = (F.col("s") == 0) | (F.col("s") == F.col("_prev")) | ((F.col("k") > late) & (F.col("frequency") > common))
-    cut = (
+    need = (
         sizes.groupBy("site_id")
         .agg(F.max("k").alias("n"), F.min(F.when(F.col("s") == 0, F.col("k"))).alias("zero"), F.min(F.when(stop, F.col("k"))).alias("stop"))
         .filter(F.col("zero").isNull() | (F.col("zero") > F.col("stop")))
         .select("site_id", F.coalesce(F.col("stop") - 1, F.col("n")).alias("need"))
     )
-    return depth.join(cut, "site_id").filter("d >= need").select("site_id", "page_id", "abs_rank")
+    return depth.join(need, "site_id").filter("d >= need").select("site_id", "page_id", "abs_rank")
 
 
 def relevance(ranks: DataFrame) -> DataFrame:
@@ -120,6 +126,9 @@ def decorate(slice_: DataFrame, page: DataFrame, site: DataFrame, title: Column,
 
 def search_ranks(spark: SparkSession, query: str, index: DataFrame, freq: DataFrame, sites: DataFrame, dict_: DataFrame | None, settings: SearchSettings = SearchSettings(), mode: str = "narrowing") -> tuple[DataFrame, DataFrame]:
     """The ranked pages of a query and the lemma rows they were ranked by. A query of particles alone finds nothing."""
-    lemmas = pick_lemmas(X.query_lemmas(query_words(spark, query), dict_), freq)
-    ranked = ranked_lemmas(lemmas, freq, sites)
-    return relevance(candidates(index, ranked, settings, mode)), ranked
+    found = X.query_lemmas(query_words(spark, query), dict_).collect()  # the words of one query
+    names = F.col("lemma").isin(sorted({r["lemma"] for r in found}))
+    words = spark.createDataFrame(found, "word string, lemma string")
+    known = cut(freq.filter(names).select("site_id", "lemma", "frequency"))
+    ranked = cut(ranked_lemmas(pick_lemmas(words, known), known, sites))
+    return relevance(candidates(index.filter(names), ranked, settings, mode)), ranked

@@ -12,7 +12,7 @@ from quillon.operators import access as A
 from quillon.operators import crawl, index, search, stats
 from quillon.operators.snippet import snippet_udf
 from quillon.schemas import SearchSettings
-from quillon.sources.tables import if_small, read_pages, read_table
+from quillon.sources.tables import cut, if_small, read_pages, read_table
 
 #: The words of the example searches, over documents and over pages.
 DOC_TERMS = ("printer", "orchard", "gentle", "cable")
@@ -113,13 +113,27 @@ def q07(s, d):
     return A.new_links(links, read_table(s, d, "page"))
 
 
-@query("q08_crawl_reachable")
+EDGES = ACCEPT + f", edge AS (SELECT DISTINCT site_id, path, {REL} AS to_path FROM acc), stored AS (SELECT DISTINCT site_id, path FROM pg WHERE site_id IS NOT NULL AND path IS NOT NULL)"
+
+
+@query("q08_crawl_reachable", f"WITH {EDGES} SELECT site_id, path, 0 AS level FROM stored UNION ALL SELECT site_id, to_path, 1 FROM (SELECT DISTINCT site_id, to_path FROM edge) e WHERE NOT EXISTS (SELECT 1 FROM stored s WHERE s.site_id = e.site_id AND s.path = e.to_path)")
 def q08(s, d):
+    """From all stored pages."""
     pages = read_pages(s, d)
     links = crawl.page_links(pages, read_table(s, d, "site"))
     return crawl.reachable(pages.select("site_id", "path").filter("path is not null and site_id is not null"), links)
 
 
+@query("q08_crawl_levels", f"""WITH RECURSIVE {EDGES}, seed AS (SELECT site_id, min(path) AS path FROM stored GROUP BY site_id),
+walk(site_id, path, level) AS (SELECT site_id, path, 0 FROM seed UNION SELECT e.site_id, e.to_path, w.level + 1 FROM walk w JOIN edge e ON e.site_id = w.site_id AND e.path = w.path WHERE w.level < 100)
+SELECT site_id, path, CAST(min(level) AS INT) AS level FROM walk GROUP BY site_id, path""")
+def q08l(s, d):
+    """From one page of each site, round by round."""
+    pages = read_pages(s, d)
+    links = cut(crawl.page_links(pages, read_table(s, d, "site")).distinct())
+    return crawl.reachable(pages.filter("path is not null and site_id is not null").groupBy("site_id").agg(F.min("path").alias("path")), links)
+
+
 @query("q09_body_tokens", f"""WITH {PAGES}, t AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(content, '(?is)<head\\b.*?</head\\s*>|<!--.*?-->|<script\\b.*?</script\\s*>|<style\\b.*?</style\\s*>', ' ', 'g'), '<[^>]*>', ' ', 'g'), '&[#0-9A-Za-z]+;', ' ', 'g') AS x FROM pg),
 w AS (SELECT page_id, unnest(regexp_extract_all(lower(x), '[a-z]+')) AS token FROM t) SELECT page_id, token, count(*) AS n FROM w GROUP BY ALL""")
 def q09(s, d):
@@ -225,8 +239,8 @@ RANKED = HIT + f""", full_site AS (SELECT site_id FROM hit GROUP BY site_id HAVI
 ranked AS (SELECT h.*, row_number() OVER (PARTITION BY h.site_id ORDER BY h.frequency, h.lemma) AS k FROM hit h JOIN full_site f ON h.site_id = f.site_id)"""
 
 
-def narrowed_sql(cap: int, late: int, common: int) -> str:
-    return RANKED + f""", capped AS (SELECT r.site_id, r.k, i.page_id, i.rating, row_number() OVER (PARTITION BY r.site_id, r.k ORDER BY i.page_id) AS pr FROM tf i JOIN ranked r ON i.site_id = r.site_id AND i.lemma = r.lemma),
+def narrowed_sql(cap: int, late: int, common: int, ranked: str = RANKED) -> str:
+    return ranked + f""", capped AS (SELECT r.site_id, r.k, i.page_id, i.rating, row_number() OVER (PARTITION BY r.site_id, r.k ORDER BY i.page_id) AS pr FROM tf i JOIN ranked r ON i.site_id = r.site_id AND i.lemma = r.lemma),
 post AS (SELECT *, row_number() OVER (PARTITION BY site_id, page_id ORDER BY k) AS rn FROM capped WHERE k > 1 OR pr <= {cap}),
 depth AS (SELECT site_id, page_id, max(CASE WHEN rn = k THEN k ELSE 0 END) AS d, CAST(sum(rating) AS DOUBLE) AS abs_rank FROM post GROUP BY site_id, page_id),
 size AS (SELECT r.site_id, r.k, r.frequency, count(d.page_id) AS s FROM ranked r LEFT JOIN depth d ON d.site_id = r.site_id AND d.d >= r.k GROUP BY ALL),
@@ -239,15 +253,22 @@ res AS (SELECT d.site_id, d.page_id, abs_rank, abs_rank / max(abs_rank) OVER ()
 FULL = narrowed_sql(4000, 3, 2500)
 
 
+def term_index(s: SparkSession, d: str) -> index.Index:
+    """The part of the documents' index that a search for ``DOC_TERMS`` reads."""
+    postings = index.term_counts(docs(s, d), F.col("text"), None, html=False).filter(F.col("lemma").isin(list(DOC_TERMS)))
+    postings = cut(postings)
+    return index.Index(postings, index.frequencies(postings))
+
+
 def _ranked(s, d):
-    i = doc_index(s, d)
+    i = term_index(s, d)
     terms = s.createDataFrame([(t,) for t in DOC_TERMS], "lemma string")
     return i, search.ranked_lemmas(terms, i.frequencies)
 
 
 @query("q23_lemma_lookup", f"WITH {HIT} SELECT site_id, lemma, frequency FROM hit")
 def q23(s, d):
-    f = doc_index(s, d).frequencies
+    f = term_index(s, d).frequencies
     return A.lemma_rows(f, s.createDataFrame([(t,) for t in DOC_TERMS], "lemma string"), f)
 
 
@@ -282,13 +303,9 @@ def q28(s, d):
     return search.result_page(_full(s, d), 10, 10).select("page_id", "relevance")
 
 
-def _page_tables(s, d):
-    """The page corpus as stored: lemma rows summed, postings once each."""
-    t = {n: read_table(s, d, n) for n in ("site", "lemma_dict")}
-    t["page"] = read_pages(s, d)
-    t["search_index"] = read_table(s, d, "search_index").filter("lemma is not null").groupBy("site_id", "page_id", "lemma").agg(F.max("rating").alias("rating"))
-    t["lemma"] = index.frequencies(t["search_index"])
-    return t
+def page_postings(s: SparkSession, d: str) -> DataFrame:
+    """The stored postings, each once."""
+    return read_table(s, d, "search_index").filter("lemma is not null").groupBy("site_id", "page_id", "lemma").agg(F.max("rating").alias("rating"))
 
 
 @query("q29_search_full", f"WITH {FULL}, top AS (SELECT * FROM res ORDER BY abs_rank DESC, page_id LIMIT 20) SELECT t.page_id, t.site_id AS site, d.lang, relevance FROM top t JOIN documents d ON d.doc_id = t.page_id")
@@ -298,11 +315,33 @@ def q29(s, d):
     return meta.join(F.broadcast(top), "page_id").select("page_id", F.col("site_id").alias("site"), "lang", "relevance")
 
 
-@query("q29_search_pages")
+Q_WORDS = ", ".join(f"('{w}')" for w in PAGE_QUERY.split())
+P_POST = "tf AS (SELECT site_id, page_id, lemma, max(rating) AS rating FROM search_index WHERE lemma IS NOT NULL GROUP BY ALL)"
+# the query's lemmas, picked by their highest frequency, and the sites that know them all, over the stored postings of the pages
+P_RANKED = P_POST + f""", df AS (SELECT site_id, lemma, count(*) AS frequency FROM tf GROUP BY ALL), {DICT},
+cand AS (SELECT DISTINCT q.word, coalesce(d.normal_form, q.word) AS lemma FROM (VALUES {Q_WORDS}) AS q(word) LEFT JOIN (SELECT DISTINCT form, normal_form FROM lemma_dict WHERE lang = 'ru' AND form IS NOT NULL AND normal_form IS NOT NULL) d ON d.form = q.word
+ WHERE NOT EXISTS (SELECT 1 FROM dict WHERE lang = 'ru' AND word = q.word AND particle)),
+best AS (SELECT lemma, max(frequency) AS f FROM df GROUP BY lemma),
+pick AS (SELECT DISTINCT lemma FROM (SELECT c.lemma, row_number() OVER (PARTITION BY c.word ORDER BY b.f DESC NULLS LAST, c.lemma) AS n FROM cand c LEFT JOIN best b ON b.lemma = c.lemma) WHERE n = 1),
+hit AS (SELECT df.* FROM df JOIN pick USING (lemma) WHERE df.site_id IN (SELECT site_id FROM site WHERE status <> 'INDEXING')),
+full_site AS (SELECT site_id FROM hit GROUP BY site_id HAVING count(*) = (SELECT count(*) FROM pick)),
+ranked AS (SELECT h.*, row_number() OVER (PARTITION BY h.site_id ORDER BY h.frequency, h.lemma) AS k FROM hit h JOIN full_site f ON h.site_id = f.site_id)"""
+TITLE = """title AS (SELECT page_id, coalesce(trim(regexp_replace(replace(replace(replace(replace(replace(replace(replace(regexp_extract(content, '(?is)<title[^>]*>(.*?)</title>', 1),
+ '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&copy;', '©'), '&middot;', '·'), '&nbsp;', ' '), '&amp;', '&'), '\\s+', ' ', 'g')), '') AS title FROM pg)"""
+P_TOP = f"""WITH {narrowed_sql(4000, 3, 2500, P_RANKED)}, {PAGES}, {TITLE}, top AS (SELECT * FROM res ORDER BY abs_rank DESC, page_id LIMIT 20)
+, rows_ AS (SELECT t.page_id, s.url AS site, s.name AS "siteName", pg.path AS uri, title.title, t.relevance FROM top t JOIN pg USING (page_id) JOIN title USING (page_id) JOIN site s ON s.site_id = pg.site_id)"""
+
+
+def _page_search(s, d) -> DataFrame:
+    postings = page_postings(s, d)
+    ranks, _ = search.search_ranks(s, PAGE_QUERY, postings, index.frequencies(postings), A.searchable_sites(read_table(s, d, "site")), X.dictionary(read_table(s, d, "lemma_dict")))
+    return ranks
+
+
+@query("q29_search_pages", P_TOP + " SELECT * FROM rows_")
 def q29p(s, d):
-    t = _page_tables(s, d)
-    ranks, _ = search.search_ranks(s, PAGE_QUERY, t["search_index"], t["lemma"], A.searchable_sites(t["site"]), X.dictionary(t["lemma_dict"]))
-    return search.decorate(search.result_page(ranks, 0, 20), t["page"], t["site"], H.title(F.col("content")))
+    top = search.result_page(_page_search(s, d), 0, 20)
+    return search.decorate(top, read_pages(s, d), read_table(s, d, "site"), H.title(F.col("content")))
 
 
 @query("q30_surface_forms", f"""WITH {D_DOCS}, w AS (SELECT page_id, unnest(regexp_extract_all(text, '[а-яёА-ЯЁa-zA-Z]+')) AS word FROM d) SELECT page_id, lower(word) AS lemma, count(DISTINCT word) AS forms FROM w WHERE lower(word) IN ({", ".join(repr(t) for t in DOC_TERMS)}) GROUP BY ALL""")
@@ -392,12 +431,12 @@ def q39(s, d):
     return stats.total_statistics(_stat(s, d))
 
 
-@query("q40_wipe")
+@query("q40_wipe", "SELECT * FROM page WHERE false")
 def q40(s, d):
     return index.wipe(read_table(s, d, "page"))
 
 
-@query("q41_search_json")
+@query("q41_search_json", P_TOP + " SELECT page_id, CAST(to_json({'site': site, 'siteName': \"siteName\", 'uri': uri, 'title': title, 'relevance': relevance}) AS VARCHAR) AS row FROM rows_")
 def q41(s, d):
     """The JSON rows of a result page; null fields are left out."""
     rows = q29p(s, d)
