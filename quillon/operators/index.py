@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from quillon.functions import text as X
 from quillon.functions.html import token_text
+from quillon.schemas import MSG_PAGE_REQUEST
 
 KEYS = ("site_id", "page_id")
 
@@ -46,6 +47,17 @@ def build(pages: DataFrame, content: Column, dict_: DataFrame | None = None, htm
     return Index(p, frequencies(p))
 
 
+def indexable(pages: DataFrame, mode: str = "crawl") -> DataFrame:
+    """The pages whose text is indexed: those of code 200. ``crawl`` passes over the others; ``single`` raises for them."""
+    ok = F.coalesce(F.col("code") == 200, F.lit(False))
+    if mode == "single":
+        wrong = F.raise_error(F.concat(F.lit(MSG_PAGE_REQUEST), F.coalesce(F.col("code").cast("string"), F.lit(""))))
+        return pages.withColumn("code", F.when(ok, F.col("code")).otherwise(wrong.cast("int")))
+    if mode != "crawl":
+        raise ValueError(mode)
+    return pages.filter(ok)
+
+
 def unique_pages(pages: DataFrame) -> DataFrame:
     """One page for each (site, path): the one with the smallest id."""
     return pages.groupBy("site_id", "path").agg(F.min("page_id").alias("page_id"))

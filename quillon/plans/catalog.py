@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.functions import html as H
@@ -207,14 +207,15 @@ HALVES = D_TF + ", a AS (SELECT site_id, lemma, count(*) AS f FROM tf WHERE page
 
 @query("q19_frequency_upsert", f"WITH {HALVES} SELECT site_id, lemma, CAST(sum(f) AS BIGINT) AS frequency FROM (SELECT * FROM a UNION ALL SELECT * FROM b) GROUP BY ALL")
 def q19(s, d):
-    p = doc_index(s, d).postings
+    p = cut(doc_index(s, d).postings)
     return index.upsert_frequencies(index.frequencies(p.filter("page_id % 2 = 0")), index.frequencies(p.filter("page_id % 2 <> 0")))
 
 
 @query("q20_page_reindex", f"WITH {D_TF}, odd AS (SELECT * FROM tf WHERE page_id % 2 <> 0 OR length(lemma) > 5) SELECT site_id, lemma, count(*) AS frequency FROM odd GROUP BY ALL")
 def q20(s, d):
     """Every page of an even id comes again with its short words gone."""
-    old = doc_index(s, d)
+    old = cut(doc_index(s, d).postings)
+    old = index.Index(old, index.frequencies(old))
     again = old.postings.filter("page_id % 2 = 0 and length(lemma) > 5")
     empty = old.postings.filter("page_id % 2 = 0").select("page_id").distinct()
     return index.add_pages(index.delete_pages(old, empty), again).frequencies
@@ -417,8 +418,7 @@ st AS (SELECT c.url, c.name, coalesce(s.status, '') AS status, coalesce(CAST(flo
 def _stat(s, d):
     site = read_table(s, d, "site")
     cfg = site.filter("site_id % 3 <> 0").groupBy("url").agg(F.min("name").alias("name")).unionByName(s.createDataFrame([("https://nowhere.test", "Nowhere")], "url string, name string"))
-    one = site.withColumn("_k", F.row_number().over(Window.partitionBy("url").orderBy("site_id"))).filter("_k = 1").drop("_k")
-    return stats.site_statistics(cfg, one, read_table(s, d, "page"), read_table(s, d, "lemma"))
+    return stats.site_statistics(cfg, site, read_table(s, d, "page"), read_table(s, d, "lemma"))
 
 
 @query("q38_stats_detail", f"WITH {STAT} SELECT * FROM st")

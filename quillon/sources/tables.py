@@ -102,22 +102,3 @@ def uncut(*tables: DataFrame | None) -> None:
     for df in tables:
         if df is not None and getattr(df, "_cut_path", None):
             _delete(df.sparkSession, df._cut_path)
-
-
-def swap_table(df: DataFrame, path: str) -> None:
-    """Overwrite a parquet table: staged beside it, then renamed, so that a failed job leaves the old table."""
-    spark = df.sparkSession
-    stage, old = f"{path}.stage-{uuid.uuid4().hex}", f"{path}.old-{uuid.uuid4().hex}"
-    df.write.parquet(stage)
-    jvm = spark.sparkContext._jvm
-    to = lambda p: jvm.org.apache.hadoop.fs.Path(p)
-    fs = to(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    had = fs.exists(to(path))
-    if had and not fs.rename(to(path), to(old)):
-        raise OSError(f"can't move {path}")
-    if not fs.rename(to(stage), to(path)):
-        if had:
-            fs.rename(to(old), to(path))
-        raise OSError(f"can't put {path} in place")
-    if had:
-        fs.delete(to(old), True)

@@ -109,7 +109,7 @@ def test_html(spark):
 
 
 def test_statistics(spark):
-    site = spark.createDataFrame([(1, "u1", "n", "INDEXING", None, None), (3, "u3", "n", "INDEXED", None, None)], SITE)
+    site = spark.createDataFrame([(1, "u1", "n", "INDEXING", None, None), (9, "u1", "again", "FAILED", None, None), (3, "u3", "n", "INDEXED", None, None)], SITE)
     cfg = spark.createDataFrame([("u1", "one"), ("u2", "two")], "url string, name string")
     page = spark.createDataFrame([(1,)] * 3 + [(3,)], "site_id int")
     lemma = spark.createDataFrame([(1,)] * 2 + [(3,)], "site_id int")
@@ -136,9 +136,23 @@ def test_requests(spark):
 
 
 def test_streaming_ingest(spark, tmp_path):
-    from quillon.streaming.ingest import ingest
-
-    rows = [(1, 1, "/", 200, "<p>red cat</p>"), (2, 1, "/b", 200, "red dog"), (3, 1, "/c", 404, "")]
-    spark.createDataFrame(rows, "page_id long, site_id int, path string, code int, content string").write.parquet(str(tmp_path / "in"))
-    ingest(spark, str(tmp_path / "in"), str(tmp_path / "p"), str(tmp_path / "f"), str(tmp_path / "c")).awaitTermination()
-    assert {r["lemma"]: r["frequency"] for r in spark.read.parquet(str(tmp_path / "f")).collect()} == {"red": 2, "cat": 1, "dog": 1}
+    from quillon.sources.store import Store
+    from quillon.streaming.ingest import fold_batch, ingest
+
+    columns = "page_id long, site_id int, path string, code int, content string"
+    store = Store(spark, str(tmp_path / "store"))
+    rows = [(1, 1, "/", 200, "<p>red cat</p>"), (2, 1, "/b", 200, "red dog"), (3, 1, "/c", 404, ""), (None, 1, "/d", 200, "red"), (4, 1, "/e", None, "red")]
+    spark.createDataFrame(rows, columns).coalesce(1).write.parquet(str(tmp_path / "in"))
+    ingest(store, str(tmp_path / "in"), str(tmp_path / "c")).awaitTermination()
+    assert {r["lemma"]: r["frequency"] for r in store.read("lemma").collect()} == {"red": 2, "cat": 1, "dog": 1}
+    spark.createDataFrame([(2, 1, "/b", 200, "blue dog")], columns).write.mode("append").parquet(str(tmp_path / "in"))
+    ingest(store, str(tmp_path / "in"), str(tmp_path / "c")).awaitTermination()
+    want = {"red": 1, "cat": 1, "dog": 1, "blue": 1}
+    assert {r["lemma"]: r["frequency"] for r in store.read("lemma").collect()} == want
+    number = store.manifest()["number"]
+    fold_batch(store, spark.createDataFrame(rows, columns), 0)  # taken in before
+    assert store.manifest()["number"] == number
+    store.compact()
+    store.clean()
+    assert {r["lemma"]: r["frequency"] for r in store.read("lemma").collect()} == want
+    assert {(r["page_id"], r["content"]) for r in store.read("page").collect()} == {(1, "<p>red cat</p>"), (2, "blue dog")}
