@@ -84,3 +84,17 @@ def query_lemmas(words: DataFrame, dict_: DataFrame | None) -> DataFrame:
         .select("word", F.explode(F.coalesce(F.col("normal_forms"), F.array("word"))).alias("lemma"))
         .distinct()
     )
+
+
+def words_by_lemmas(df: DataFrame, text: Column, dict_: DataFrame | None, lemmas: list[str], *keys: str) -> DataFrame:
+    """(keys, lemma, words): the words of a text, as they are written, of which a normal form is among the lemmas; by the first
+    normal form, each spelling once, in the order of the text."""
+    rows = df.select(*keys, F.posexplode(surface_words(text)).alias("_pos", "_w")).withColumns({"word": F.lower("_w"), "lang": word_language(F.col("_w"))})
+    own = F.array("word")
+    if dict_ is not None:
+        rows = rows.join(dict_.select("lang", "word", "normal_forms"), ["lang", "word"], "left")
+        own = F.coalesce("normal_forms", own)
+    rows = rows.withColumn("_n", own).filter(F.arrays_overlap("_n", F.array(*map(F.lit, lemmas))))
+    first = rows.groupBy(*keys, F.element_at("_n", 1).alias("lemma"), "_w").agg(F.min("_pos").alias("_pos"))
+    ordered = F.array_sort(F.collect_list(F.struct("_pos", "_w")))
+    return first.groupBy(*keys, "lemma").agg(F.transform(ordered, lambda x: x["_w"]).alias("words"))

@@ -11,6 +11,8 @@ by the steps that need them again.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -117,6 +119,14 @@ def result_page(ranks: DataFrame, offset: int, limit: int) -> DataFrame:
     return ranks.orderBy(F.desc("abs_rank"), "page_id").offset(offset).limit(limit)
 
 
+def walk(ranks: DataFrame, limit: int, offset: int = 0) -> Iterator[tuple[int, DataFrame]]:
+    """(offset, slice) of all result pages from an offset on: the next offset is this one and the rows there were, until none remain."""
+    count = ranks.count()
+    while offset < count:
+        yield offset, result_page(ranks, offset, limit)
+        offset += min(limit, count - offset)
+
+
 def decorate(slice_: DataFrame, page: DataFrame, site: DataFrame, title: Column, snippet: Column | None = None) -> DataFrame:
     """Result rows (site, siteName, uri, title[, snippet], relevance). Pages are joined after the slice, which is broadcast: a result page's rows."""
     rows = page.join(F.broadcast(slice_.select("page_id", "relevance", "abs_rank")), "page_id").join(if_small(site.select("site_id", F.col("url").alias("site"), F.col("name").alias("siteName"))), "site_id")

@@ -118,3 +118,9 @@ def snippet_udf(lemmas: set[str], forms: Mapping[str, list[str]] | None = None,
         return content.map(lambda c: make_snippet(html_to_text(c) if html else c, lemmas, normal, max_size, part_size))
 
     return snippet
+
+
+@F.pandas_udf(T.StringType())
+def snippet_of(text: pd.Series, lemmas: pd.Series) -> pd.Series:
+    """A snippet of each text for its own lemmas, every word being its own lemma."""
+    return pd.Series([make_snippet(t, set(x)) for t, x in zip(text, lemmas, strict=True)], dtype=object)

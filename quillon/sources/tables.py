@@ -11,6 +11,7 @@ import atexit
 import tempfile
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,13 +27,13 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def first_deliveries(df: DataFrame, key: str, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """One row for each key of a file-backed DataFrame: the first by file and position.
 
-    Rows without a key are dropped. Only the key column is shuffled. A DataFrame without files (as in
-    tests) falls back to ``dropDuplicates``.
+    Rows without a key are dropped. Only the key column is shuffled, and the positions of the repeats are broadcast if they are few; if
+    not, the rows are shuffled once by position. A DataFrame without files (as in tests) falls back to ``dropDuplicates``.
     """
     try:
         placed = df.select(key, F.col("_metadata.file_path").alias("_f"), F.col("_metadata.row_index").alias("_r"))
         placed.schema  # noqa: B018  resolves the hidden columns
-    except Exception:
+    except AnalysisException:
         return df.filter(F.col(key).isNotNull()).dropDuplicates([key])
     at = F.struct("_f", "_r")
     keep = placed.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("_n"), F.min(at).alias("_at"))
