@@ -362,9 +362,8 @@ def body_lines(content: str, brand: str | None, classifier: Classifier, plain: s
 def _with_brand(pages: DataFrame, sites: DataFrame, page: str, site: str, content: str) -> DataFrame:
     names = sites.filter(F.col(site).isNotNull()).groupBy(F.col(site).alias("_s")).agg(F.min("name").alias("_n"))
     brand = F.split(F.trim(F.col("_n")), r"\s+").getItem(0)
-    return pages.filter(F.col(page).isNotNull() & F.col(content).isNotNull() & (F.col(content) != "")).join(if_small(names), F.col(site) == F.col("_s"), "left").select(
-        F.col(page).alias("page"), F.col(content).alias("content"), brand.alias("brand")
-    )
+    rows = pages.select(F.col(page).alias("page"), F.col(content).alias("content"), F.col(site).alias("site")).filter("page is not null and content is not null and content <> ''")
+    return rows.join(if_small(names), F.col("site") == F.col("_s"), "left").select("page", "content", brand.alias("brand"))
 
 
 def train(rows: DataFrame, sample_pages: int = SAMPLE_PAGES) -> Classifier:
