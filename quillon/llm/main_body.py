@@ -21,6 +21,8 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from functools import lru_cache
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -59,17 +61,21 @@ MARKS = re.compile("[|©·›:«»“”„€₽$%?—@_-]")
 BULLETS = frozenset("-–—•*·")
 SIZE = [f"n{n if n < 8 else 8 + min(n // 6, 6)}" for n in range(50)]
 LEAD, TAIL, LINKS = [f"lead{k}" for k in range(4)], [f"tail{k}" for k in range(3)], [f"links{k}" for k in range(4)]
+NOTHING = repeat(0.0)
 OF_MARKUP = frozenset(["link1", "link2", *LINKS, "cells"])
 
 
+@lru_cache(20_000)
+def _tag(tag: str, attrs: str) -> tuple[str, str]:
+    tag, own = tag.lower(), dict(ATTR.findall(attrs)) if attrs else {}
+    sign = f"{tag}.{own['class']}" if own.get("class") else f"{tag}#{own['id']}" if own.get("id") else tag if tag not in ("p", "tr", "td", "div", "span", "a", "table") else ""
+    return own.get("role", "").lower() or tag, sign
+
+
 def markup(raw: str) -> tuple[str, str]:
     """(mark, signature) of a line: the element or role that HTML gives a meaning, and what lines of equal markup share."""
-    m = FIRST.search(raw)
-    if not m:
-        return "", ""
-    tag, attrs = m[1].lower(), dict(ATTR.findall(m[2])) if m[2] else {}
-    sign = f"{tag}.{attrs['class']}" if attrs.get("class") else f"{tag}#{attrs['id']}" if attrs.get("id") else tag if tag not in ("p", "tr", "td", "div", "span", "a", "table") else ""
-    return attrs.get("role", "").lower() or tag, sign
+    m = FIRST.search(raw) if "<" in raw else None
+    return _tag(m[1], m[2]) if m else ("", "")
 
 
 def depths(raws: list[str]) -> list[tuple[int, int]]:
@@ -146,23 +152,18 @@ def page_nodes(content: str, brand: str | None, plain: str | None = None, text:
     return out
 
 
-class _Weights(dict):
-    def __missing__(self, key: str) -> float:
-        return 0.0
-
-
 class Classifier:
     """Logistic regression over flags and words; the words of a line share one unit of length. Words are stored behind a w."""
 
     def __init__(self, weights: dict[str, float]):
         self.weights = weights
-        self.flag = _Weights({k: v for k, v in weights.items() if k[0] != "w"}).__getitem__
-        self.word = _Weights({k[1:]: v for k, v in weights.items() if k[0] == "w"}).__getitem__
+        self.flag = {k: v for k, v in weights.items() if k[0] != "w"}.get
+        self.word = {k[1:]: v for k, v in weights.items() if k[0] == "w"}.get
 
     def score(self, flags: list[str], words: list[str]) -> float:
         """The log-odds of being body."""
-        s = sum(map(self.flag, flags))
-        return s + sum(map(self.word, words)) / math.sqrt(len(words)) if words else s
+        s = sum(map(self.flag, flags, NOTHING))
+        return s + sum(map(self.word, words, NOTHING)) / math.sqrt(len(words)) if words else s
 
     @classmethod
     def fit(cls, lines: list[tuple[list[str], list[str], bool]], steps: int = 160, l2: float = 1e-5) -> Classifier:
@@ -336,14 +337,14 @@ def body_lines(content: str, brand: str | None, classifier: Classifier, plain: s
     place = depths(plain.split("\n")) if "<" in plain else None
     costs, edges, last, low, seen = [], [], {}, {}, 0
     for k, (line, _, _, own, placed) in enumerate(nodes):
-        c, mark, sign = max(-9.0, min(9.0, classifier.score(own[1], own[0]) + sum(map(classifier.flag, placed)))), own[2], own[3]
+        c, mark, sign = max(-9.0, min(9.0, classifier.score(own[1], own[0]) + sum(map(classifier.flag, placed, NOTHING)))), own[2], own[3]
         if telling:
             c += MARKUP if mark in BODY else -MARKUP if mark in CHROME else 0.0
         costs.append(c)
         between = depth = 0
         if place:  # the least depth since the node before, for all lines that wait for their like
             depth = place[line][0]
-            between = min(place[i][1] for i in range(seen, line + 1))
+            between = place[line][1] if seen == line else min(place[i][1] for i in range(seen, line + 1))
             for s, d in low.items():
                 if between < d:
                     low[s] = between
