@@ -6,20 +6,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 RU, EN = "ru", "en"
-#: What is not a letter of the language.
-NOT_LETTERS = {RU: r"[^а-яё\s]", EN: r"[^a-z\s]"}
+#: The letters of each language, in lower case.
+LETTERS = {RU: "[а-яё]+", EN: "[a-z]+"}
 #: Tags of the closed word classes that are not indexed.
 PARTICLE_TAGS = {RU: ("МЕЖД", "ПРЕДЛ", "СОЮЗ", "ЧАСТ"), EN: ("PREP", "ARTICLE", "CONJ")}
 
 
 def tokens(text: Column, lang: str) -> Column:
     """Array of the language's words: lower-cased, every other character splits. Null gives null, blank an empty array."""
-    return F.array_remove(F.split(F.regexp_replace(F.lower(text), NOT_LETTERS[lang], " "), r"\s+"), "")
+    return F.regexp_extract_all(F.lower(text), F.lit(LETTERS[lang]), F.lit(0))
 
 
 def surface_words(text: Column) -> Column:
     """Array of words in either alphabet with their case kept, in text order."""
-    return F.array_remove(F.split(F.regexp_replace(text, r"[^а-яёА-ЯЁa-zA-Z\s]", " "), r"\s+"), "")
+    return F.regexp_extract_all(text, F.lit("[а-яёА-ЯЁa-zA-Z]+"), F.lit(0))
 
 
 def word_language(word: Column) -> Column:
@@ -38,12 +38,10 @@ def is_particle(info: Column, lang: Column, faithful: bool = False) -> Column:
 
 def token_rows(df: DataFrame, text: Column, *keys: str) -> DataFrame:
     """Rows (keys, lang, word): Russian words, then English ones."""
-    def tagged(lang: str) -> Column:
-        words = F.coalesce(tokens(text, lang), F.array().cast("array<string>"))
-        return F.transform(words, lambda w: F.struct(F.lit(lang).alias("lang"), w.alias("word")))
-
-    both = F.concat(tagged(RU), tagged(EN))
-    return df.select(*keys, F.explode(both).alias("_t")).select(*keys, "_t.lang", "_t.word")
+    none = F.array().cast("array<string>")
+    both = F.concat(*(F.coalesce(tokens(text, lang), none) for lang in (RU, EN)))
+    # a word of one alphabet tells its language: all Latin letters come before the Russian ones
+    return df.select(*keys, F.explode(both).alias("word")).select(*keys, F.when(F.col("word") >= "а", RU).otherwise(EN).alias("lang"), "word")
 
 
 def dictionary(raw: DataFrame, faithful: bool = False) -> DataFrame:
