@@ -94,10 +94,9 @@ def depths(raws: list[str]) -> list[tuple[int, int]]:
     return [(d, min(d, out[k - 1][0] if k else 0)) for k, (d, _) in enumerate(out)]
 
 
-def line_traits(raw: str, t: str, brand: str) -> tuple[list[str], list[str], str, str, str]:
-    """(words, flags, mark, signature, case) of a line by itself."""
-    digit, low = NUMBER.search(t) is not None, t.lower()
-    low = WORD.findall(NUMBER.sub("0", low) if digit else low)
+def line_traits(raw: str, t: str, low: str, brand: str) -> tuple[list[str], list[str], str, str, str]:
+    """(words, flags, mark, signature, case) of a line by itself. low: the line in lower case, a 0 for each number."""
+    digit, low = "0" in low, WORD.findall(low)
     named = bool(brand) and brand in low
     if named:
         low = ["BRAND" if x == brand else x for x in low]
@@ -136,8 +135,9 @@ def page_nodes(content: str, brand: str | None, plain: str | None = None, text:
     title = " ".join(title[1].split()).rsplit(" — ", 1)[0].lower() if title else ""
     raws, brand = plain.split("\n"), (brand or "").lower()
     lines = [(i, " ".join(w)) for i, t in enumerate(text.split("\n")) if (w := t.split())]
+    lows = NUMBER.sub("0", text.lower()).split("\n")  # neither changes the line breaks
     crumbs = {t.rsplit("›", 1)[1].strip().lower() for _, t in lines if "›" in t}
-    traits = [line_traits(raws[i], t, brand) for i, t in lines]
+    traits = [line_traits(raws[i], t, lows[i], brand) for i, t in lines]
     long = [k for k, x in enumerate(traits) if len(x[0]) >= 18]
     begin, end = (long[0], long[-1]) if long else (-1, -1)
     out, total = [], len(lines)

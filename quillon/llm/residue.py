@@ -173,6 +173,11 @@ def automata():
     return every, telling
 
 
+def inside_word(text: str, start: int, end: int) -> bool:
+    """Whether a match begins or ends within a word."""
+    return (start > 0 and text[start].isalnum() and text[start - 1].isalnum()) or (end < len(text) and text[end - 1].isalnum() and text[end].isalnum())
+
+
 def phrase_cover(line: str) -> float:
     """The share of a line's words that phrases cover; 0 unless a phrase that says something is among them.
 
@@ -181,10 +186,9 @@ def phrase_cover(line: str) -> float:
     low = " ".join(DATA.sub(" ", line.lower()).split())
     spans, strong = [], False
     for end, (n, says) in automata()[0].iter(low):
-        start = end - n + 1
-        if (start and low[start - 1].isalnum()) or (end + 1 < len(low) and low[end + 1].isalnum()):
+        if inside_word(low, end + 1 - n, end + 1):
             continue
-        spans.append((start, end + 1))
+        spans.append((end + 1 - n, end + 1))
         strong |= says
     if not strong:
         return 0.0
@@ -242,8 +246,8 @@ def residue_of(content: str, text: str, line_cover: float = 0.5) -> tuple[float,
     if len(low) != len(text):  # a letter that is longer in lower case: positions of the one don't fit the other
         text = low
     phrased, bad, seen = 0, 0, -1
-    for end, _ in automata()[1].iter(low):
-        if end <= seen:
+    for end, n in automata()[1].iter(low):
+        if end <= seen or inside_word(low, end + 1 - n, end + 1):
             continue
         start = low.rfind("\n", 0, end) + 1
         seen = low.find("\n", end)
