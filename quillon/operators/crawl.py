@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from quillon.functions import urls as U
 from quillon.operators.access import new_links
-from quillon.sources.tables import cut, if_small, uncut
+from quillon.sources.tables import cut, if_small
+
+FOLD = 20
 
 
 def page_links(pages: DataFrame, site: DataFrame) -> DataFrame:
@@ -20,6 +22,11 @@ def page_links(pages: DataFrame, site: DataFrame) -> DataFrame:
     return U.accept_links(links, own, "site_id", "path").select("site_id", "path", U.relative_link(F.col("link")).alias("to_path"))
 
 
+def _folded(rounds: DataFrame, level: int) -> DataFrame:
+    """The union of all rounds' tables, written as one table every ``FOLD`` rounds."""
+    return cut(rounds) if level % FOLD == FOLD - 1 else rounds
+
+
 def reachable(seeds: DataFrame, links: DataFrame, max_rounds: int = 1000) -> DataFrame:
     """(site_id, path, level) of all that the links (site_id, path, to_path) reach from the seeds (site_id, path).
 
@@ -31,7 +38,7 @@ def reachable(seeds: DataFrame, links: DataFrame, max_rounds: int = 1000) -> Dat
         frontier = cut(new_links(step, seen).withColumn("level", F.lit(level)))
         if frontier.isEmpty():
             return seen
-        seen = cut(seen.unionByName(frontier))
+        seen = _folded(seen.unionByName(frontier), level)
     raise RuntimeError(f"the crawl did not end in {max_rounds} rounds")
 
 
@@ -72,9 +79,8 @@ def crawl_sites(site: DataFrame, fetch: Callable[[DataFrame], DataFrame], stop:
         got = fetched if got is None else got.unionByName(fetched)
         step = page_links(fetched.filter("code = 200"), site).select("site_id", F.col("to_path").alias("path")).distinct()
         fresh = new_links(step, seen).join(if_small(site.select("site_id", "url")), "site_id").select("site_id", "path", F.concat("url", "path").alias("link"))
-        last, todo = todo, cut(fresh)
-        uncut(last)
-        seen = seen.unionByName(todo.select("site_id", "path")) if level else cut(got.select("site_id", "path").unionByName(todo.select("site_id", "path")))
+        todo = cut(fresh)
+        seen = _folded(seen.unionByName(todo.select("site_id", "path")), level)
     empty = "site_id int, path string, code int, content string, error string, level int"
     got = site.sparkSession.createDataFrame([], empty) if got is None else got
     fetched_pages = got.filter("error is null").select(F.monotonically_increasing_id().alias("page_id"), "site_id", "path", "code", "content")

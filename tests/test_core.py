@@ -124,6 +124,19 @@ def test_crawl_ends_on_cycles(spark):
     assert got == {("/", 0), ("/a/", 1), ("/b/", 2)}
 
 
+def test_deep_crawl(spark, monkeypatch):
+    monkeypatch.setattr(crawl, "FOLD", 3)
+    rows = [(1, "/" if not k else f"/p{k}/", 200, f'<a href="/p{k + 1}">next</a> <a href="/">home</a>') for k in range(7)]
+    site = spark.createDataFrame([(1, "http://a.test")], "site_id int, url string")
+    web = crawl.stored_web(spark.createDataFrame(rows, "site_id int, path string, code int, content string"))
+    pages, errors = crawl.crawl_sites(site, web)
+    assert {(r["path"], r["code"]) for r in pages.collect()} == {("/" if not k else f"/p{k}/", 200 if k < 7 else 404) for k in range(8)}
+    assert errors.isEmpty() and pages.select("page_id").distinct().count() == 8
+    links = spark.createDataFrame([(1, f"/{k}", f"/{k + 1}") for k in range(8)], "site_id int, path string, to_path string")
+    got = crawl.reachable(spark.createDataFrame([(1, "/0")], "site_id int, path string"), links)
+    assert {(r["path"], r["level"]) for r in got.collect()} == {(f"/{k}", k) for k in range(9)}
+
+
 def test_requests(spark):
     site = spark.createDataFrame([(1, "u1", "n", "INDEXING", None, None), (2, "u2", "n", "FAILED", None, None)], SITE)
     for req, message in ((SearchRequest(""), MSG_EMPTY_QUERY), (SearchRequest("x", site="u1"), MSG_NO_SITES), (SearchRequest("x", site="?"), MSG_NO_SITES)):
